@@ -2,7 +2,7 @@
 
 Every edge is customer → counterparty whatever the money direction (as in the
 reference).  Node ids are strings.  Edges carry weight (sum of amounts),
-count and first/last date; the per-edge list of dates is not materialised,
+count and first/last time (epoch µs); the per-edge list of dates is not materialised,
 since one edge may hold an unbounded number of rows.
 """
 from __future__ import annotations
@@ -22,12 +22,11 @@ def valid_edge_rows(txns: DataFrame) -> DataFrame:
 
 
 def build_edges(txns: DataFrame) -> DataFrame:
-    """``edges(src, dst, weight, count, first_date, last_date)``; one
+    """``edges(src, dst, weight, count, first_us, last_us)``; one
     partial+final hash aggregate on (src, dst)."""
     return (valid_edge_rows(txns).groupBy("src", "dst")
             .agg(F.sum("amount").alias("weight"), F.count("*").alias("count"),
-                 F.min("transaction_date").alias("first_date"),
-                 F.max("transaction_date").alias("last_date")))
+                 F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")))
 
 
 def build_nodes(edges: DataFrame, customers: DataFrame | None = None) -> DataFrame:

@@ -40,14 +40,15 @@ def next_event_after(events: DataFrame, probes: DataFrame, key: str, ts: str = "
     probe's, same key (unbounded look-ahead).  Union + running min over a
     descending frame inside each (key, bucket), then a bucket-level carry."""
     b = "_bkt"
-    ev = events.select(key, F.col(ts).alias("_t"), F.lit(1).alias("_is_ev"), F.lit(None).cast("long").alias("_pid"))
+    pid_type = probes.schema["_probe_id"].dataType
+    ev = events.select(key, F.col(ts).alias("_t"), F.lit(1).alias("_is_ev"), F.lit(None).cast(pid_type).alias("_pid"))
     pr = probes.select(key, F.col(ts).alias("_t"), F.lit(0).alias("_is_ev"), F.col("_probe_id").alias("_pid"))
     u = ev.unionByName(pr).withColumn(b, F.floor(F.col("_t") / F.lit(bucket_us)).cast("long"))
     w = (Window.partitionBy(key, b).orderBy(F.col("_t").desc())
          .rangeBetween(Window.unboundedPreceding, -1))
     u = u.withColumn("_nx_in", F.min(F.when(F.col("_is_ev") == 1, F.col("_t"))).over(w))
-    per_bucket = ev.withColumn(b, F.floor(F.col("_t") / F.lit(bucket_us)).cast("long")) \
-        .groupBy(key, b).agg(F.min("_t").alias("_bmin"))
+    # every bucket holding a probe or an event gets a carry row
+    per_bucket = u.groupBy(key, b).agg(F.min(F.when(F.col("_is_ev") == 1, F.col("_t"))).alias("_bmin"))
     w_b = Window.partitionBy(key).orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(key, b, F.min("_bmin").over(w_b).alias("_carry"))
     res = (u.filter(F.col("_is_ev") == 0)
@@ -73,7 +74,7 @@ def latest_before_within(events: DataFrame, probes: DataFrame, key: str, span_us
     ev = events.select(key, F.col(ts).alias("_t"),
                        F.struct(F.col(ts).alias("_t0"), F.col(tiebreak).alias("_tb"),
                                 *[F.col(c) for c in payload]).alias("_ev"),
-                       F.lit(None).cast("long").alias("_pid"))
+                       F.lit(None).cast(probes.schema["_probe_id"].dataType).alias("_pid"))
     pr = probes.select(key, F.col(ts).alias("_t"),
                        F.lit(None).cast(ev.schema["_ev"].dataType).alias("_ev"),
                        F.col("_probe_id").alias("_pid"))

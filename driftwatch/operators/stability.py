@@ -14,9 +14,8 @@ DIMENSIONS = ["entropy_stability", "temporal_stability", "counterparty_stability
 
 
 def dround(c, digits: int) -> F.Column:
-    """Round the binary value (``round(x·10^d)/10^d``), as DuckDB and numpy do."""
-    s = 10 ** digits
-    return F.round(c * F.lit(float(s))) / F.lit(float(s))
+    """Half-up rounding of the shortest decimal form (DuckDB's ``round`` agrees)."""
+    return F.round(c, digits)
 
 
 def _g(name: str, default: float = 0.0) -> F.Column:

@@ -9,14 +9,25 @@ from pyspark.sql import types as T
 from driftwatch.session import ensure_utc
 
 
+def tier_round(c) -> F.Column:
+    """Magnitude-tiered rounding for the cross-engine check: 6 decimals below
+    100, 4 below 1e5, 2 below 1e8, else 0, so that sums taken in a different
+    order by another engine land on the same value."""
+    x = c.cast("double")
+    a = F.abs(x)
+    # money sums sit on a 1e-8 grid and may fall exactly on a half; the 3e-9
+    # nudge keeps them away from it (far above the engines' summation noise)
+    xn = F.when(x >= 0, x + F.lit(3e-9)).otherwise(x - F.lit(3e-9))
+    return (F.when(a < 100, F.round(xn, 6)).when(a < 100000, F.round(xn, 4))
+            .when(a < 100000000, F.round(x, 2)).otherwise(F.round(x, 0)))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column so two engines' sums agree to the last bit."""
+    """Round every floating column (``tier_round``) for the cross-engine check."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
-        elif isinstance(f.dataType, T.DecimalType):
-            cols.append(F.round(F.col(f.name), digits).cast("double").alias(f.name))
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
+            cols.append(tier_round(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

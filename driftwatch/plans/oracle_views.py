@@ -17,8 +17,8 @@ def _list(xs) -> str:
     return "[" + ", ".join(_q(x) for x in xs) + "]"
 
 
-def _case_map(expr: str, mapping: dict, default: str) -> str:
-    whens = " ".join(f"WHEN {_q(k)} THEN {v if not isinstance(v, str) else _q(v)}" for k, v in mapping.items())
+def _case_map(expr: str, mapping: dict, default: str, raw: bool = False) -> str:
+    whens = " ".join(f"WHEN {_q(k)} THEN {v if raw or not isinstance(v, str) else _q(v)}" for k, v in mapping.items())
     return f"(CASE {expr} {whens} ELSE {default} END)"
 
 
@@ -28,8 +28,8 @@ def views() -> str:
     exchanges = _list(dims.CRYPTO_EXCHANGES)
     assets = _list(dims.CRYPTO_ASSETS)
     cur_of = _case_map("{c}", dims.COUNTRY_CURRENCY_MAP, _q(dims.DEFAULT_CURRENCY))
-    fx = _case_map("{c}", {k: f"CAST({v} AS DOUBLE)" for k, v in dims.FX_RATES.items()}, "CAST(1.0 AS DOUBLE)")
-    crypto_rate = _case_map("{c}", {k: f"CAST({v} AS DOUBLE)" for k, v in dims.CRYPTO_RATES_USD.items()}, "CAST(1.0 AS DOUBLE)")
+    fx = _case_map("{c}", {k: f"CAST({v} AS DOUBLE)" for k, v in dims.FX_RATES.items()}, "CAST(1.0 AS DOUBLE)", raw=True)
+    crypto_rate = _case_map("{c}", {k: f"CAST({v} AS DOUBLE)" for k, v in dims.CRYPTO_RATES_USD.items()}, "CAST(1.0 AS DOUBLE)", raw=True)
     gray = _list(dims.GRAY_AREA_PROFILES)
     ev_country = _list(dims.EVENT_COUNTRY)
     dep_types = ", ".join(_q(t) for t in dims.EVENT_DEPOSIT_TYPES)
@@ -120,6 +120,47 @@ supplier_txns AS (
 """
 
 
+def rr_sql(x: str) -> str:
+    """Magnitude-tiered rounding (same tiers as ``plans.common.rounded``)."""
+    xn = f"(CASE WHEN {x} >= 0 THEN {x} + 3e-9 ELSE {x} - 3e-9 END)"
+    return (f"(CASE WHEN abs({x}) < 100 THEN round({xn}, 6) WHEN abs({x}) < 100000 THEN round({xn}, 4) "
+            f"WHEN abs({x}) < 100000000 THEN round({x}, 2) ELSE round({x}, 0) END)")
+
+
+def tier_rounding(sql: str) -> str:
+    """Rewrite every ``round(<expr>, 6)`` of an oracle text into ``rr_sql``."""
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, last_comma = 0, j + 6, -1
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                if depth == 0:
+                    break
+                depth -= 1
+            elif ch == "," and depth == 0:
+                last_comma = k
+            k += 1
+        inner = sql[j + 6:k]
+        if last_comma >= 0 and sql[last_comma + 1:k].strip() == "6":
+            expr = tier_rounding(sql[j + 6:last_comma])
+            out.append(sql[i:j] + rr_sql("(" + expr + ")"))
+        else:
+            out.append(sql[i:j] + "round(" + tier_rounding(inner) + ")")
+        i = k + 1
+
+
 def with_views(body: str) -> str:
-    """Prefix a query body with the fixture CTEs (body may add more CTEs with a leading comma-free WITH-less list)."""
-    return "WITH " + views().strip() + "\n" + body
+    """Prefix a query body with the fixture CTEs; the body starts with
+    ``, more_cte AS (...)`` or directly with ``SELECT``."""
+    return tier_rounding("WITH " + views().strip() + "\n" + body)

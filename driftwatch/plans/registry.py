@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["q_signals"]
+AREAS = ["q_signals", "q_graph", "q_model"]
 
 
 def _modules():
