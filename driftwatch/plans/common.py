@@ -15,11 +15,12 @@ def tier_round(c) -> F.Column:
     order by another engine land on the same value."""
     x = c.cast("double")
     a = F.abs(x)
-    # money sums sit on a 1e-8 grid and may fall exactly on a half; the 3e-9
-    # nudge keeps them away from it (far above the engines' summation noise)
-    xn = F.when(x >= 0, x + F.lit(3e-9)).otherwise(x - F.lit(3e-9))
+    # money sums can sit exactly on a rounding half; a relative nudge of 1e-12
+    # (far above the summation noise, far below the rounding step) moves them
+    # off it identically in both engines
+    xn = x * F.lit(1.000000000001)
     return (F.when(a < 100, F.round(xn, 6)).when(a < 100000, F.round(xn, 4))
-            .when(a < 100000000, F.round(x, 2)).otherwise(F.round(x, 0)))
+            .when(a < 100000000, F.round(xn, 2)).otherwise(F.round(xn, 0)))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

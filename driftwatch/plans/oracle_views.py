@@ -122,9 +122,9 @@ supplier_txns AS (
 
 def rr_sql(x: str) -> str:
     """Magnitude-tiered rounding (same tiers as ``plans.common.rounded``)."""
-    xn = f"(CASE WHEN {x} >= 0 THEN {x} + 3e-9 ELSE {x} - 3e-9 END)"
+    xn = f"(CAST({x} AS DOUBLE) * CAST(1.000000000001 AS DOUBLE))"
     return (f"(CASE WHEN abs({x}) < 100 THEN round({xn}, 6) WHEN abs({x}) < 100000 THEN round({xn}, 4) "
-            f"WHEN abs({x}) < 100000000 THEN round({x}, 2) ELSE round({x}, 0) END)")
+            f"WHEN abs({x}) < 100000000 THEN round({xn}, 2) ELSE round({xn}, 0) END)")
 
 
 def tier_rounding(sql: str) -> str:
