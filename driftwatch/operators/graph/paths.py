@@ -22,21 +22,27 @@ def layer_depth(edges: DataFrame, customers: DataFrame, cutoff: int = dims.GRAPH
     out-edges and the number of nodes reached (source excluded)."""
     e = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
     roots = customers.select(F.col(K).cast("string").alias("root")).distinct()
-    frontier = (e.join(roots, F.col("src") == F.col("root"), "left_semi")
-                .select(F.col("src").alias("root"), F.col("dst").alias("node")))
-    frontier = cut_lineage(frontier)
-    visited = frontier.withColumn("d", F.lit(1))
+    frontier = cut_lineage(e.join(roots, F.col("src") == F.col("root"), "left_semi")
+                           .select(F.col("src").alias("root"), F.col("dst").alias("node")))
+    levels = [frontier.withColumn("d", F.lit(1))]
     d = 1
-    while d < cutoff and frontier.limit(1).count() > 0:
+    # each level is checkpointed once; "visited" is the union of the stored
+    # levels, so its lineage stays one level deep and nothing is rewritten
+    while d < cutoff and not frontier.isEmpty():
+        visited = levels[0].select("root", "node")
+        for lv in levels[1:]:
+            visited = visited.unionByName(lv.select("root", "node"))
         nxt = (frontier.join(e, frontier.node == e.src)
                .select("root", F.col("dst").alias("node"))
                .filter(F.col("node") != F.col("root"))
                .distinct()
-               .join(visited.select("root", "node"), ["root", "node"], "left_anti"))
-        nxt = cut_lineage(nxt)
+               .join(visited, ["root", "node"], "left_anti"))
         d += 1
-        visited = cut_lineage(visited.unionByName(nxt.withColumn("d", F.lit(d))))
-        frontier = nxt
+        frontier = cut_lineage(nxt)
+        levels.append(frontier.withColumn("d", F.lit(d)))
+    visited = levels[0]
+    for lv in levels[1:]:
+        visited = visited.unionByName(lv)
     per = visited.groupBy("root").agg(F.max("d").alias("layer_depth"), F.count("*").alias("reachable_nodes"))
     c = customers.select(K, F.col(K).cast("string").alias("root"))
     return c.join(per, "root", "left").select(
@@ -59,19 +65,20 @@ def circular_flows(edges: DataFrame, customers: DataFrame,
     (each edge once per counted cycle).  Self-loops are cycles of length 1.
     """
     e = edges.select("src", "dst", "weight")
-    # trim to nodes with both an in- and an out-edge until stable
-    core = e
-    prev = -1
-    while True:
-        n = core.count()
-        if n == prev:
-            break
-        prev = n
+    # trim to nodes with both an in- and an out-edge until stable; every
+    # round is checkpointed and counted from the stored copy
+    core = cut_lineage(e)
+    prev = core.count()
+    while prev > 0:
         outs = core.select(F.col("src").alias("id")).distinct()
         ins = core.select(F.col("dst").alias("id")).distinct()
         keep = outs.join(ins, "id")
         core = cut_lineage(core.join(keep.withColumnRenamed("id", "src"), "src", "left_semi")
                            .join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        n = core.count()
+        if n == prev:
+            break
+        prev = n
     loops = core.filter(F.col("src") == F.col("dst")).select(
         F.col("src").alias("root"), F.array(F.col("src")).alias("path"), F.col("weight").alias("w"))
     step = core.filter(F.col("src") != F.col("dst"))
@@ -81,7 +88,7 @@ def circular_flows(edges: DataFrame, customers: DataFrame,
     paths = cut_lineage(paths)
     cycles = loops
     length = 2
-    while length <= max_len and paths.limit(1).count() > 0:
+    while length <= max_len and not paths.isEmpty():
         ext = paths.join(step, paths["last"] == step["src"])
         closed = (ext.filter(F.col("dst") == F.col("root"))
                   .select("root", "path", (F.col("w") + F.col("weight")).alias("w")))

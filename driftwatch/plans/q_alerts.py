@@ -7,11 +7,12 @@ from driftwatch.functions import dims
 from driftwatch.operators import alerts as A
 from driftwatch.plans.common import prep, rounded
 from driftwatch.plans.oracle_views import with_views
+from driftwatch.plans.stages import view as V
 from driftwatch.sources import tables as TB
 
 
 def _alerts(spark, sf):
-    return A.create_alerts(TB.customers_v(spark, sf), TB.tx_orders(spark, sf))
+    return A.create_alerts(V(spark, sf, "customers_v"), V(spark, sf, "tx_orders"))
 
 
 def q_a01_create_alerts(spark, sf):
@@ -21,14 +22,14 @@ def q_a01_create_alerts(spark, sf):
 
 def q_a02_alert_transactions(spark, sf):
     prep(spark)
-    t = A.alert_transactions(_alerts(spark, sf), TB.tx_orders(spark, sf), method="wire", limit=5)
+    t = A.alert_transactions(_alerts(spark, sf), V(spark, sf, "tx_orders"), method="wire", limit=5)
     return rounded(t.select("alert_id", "transaction_id", "ts_us", "transaction_type", "amount", "currency",
                             "method", "country", "counterparty", "rank", "usd_amount"))
 
 
 def q_a03_alert_transactions_ci(spark, sf):
     prep(spark)
-    t = A.alert_transactions(_alerts(spark, sf), TB.tx_orders(spark, sf), country="usa", txn_type="DEPOSIT",
+    t = A.alert_transactions(_alerts(spark, sf), V(spark, sf, "tx_orders"), country="usa", txn_type="DEPOSIT",
                              min_amount=0, max_amount=50000, counterparty="supplier#00000001",
                              start_date="1996-01-01", end_date="2000-12-31", case_insensitive=True, limit=200)
     return rounded(t.select("alert_id", "transaction_id", "ts_us", "amount", "counterparty", "rank", "usd_amount"))
@@ -36,26 +37,26 @@ def q_a03_alert_transactions_ci(spark, sf):
 
 def q_a05_counterparty_profile(spark, sf):
     prep(spark)
-    return rounded(A.counterparty_profile(_alerts(spark, sf), TB.tx_orders(spark, sf)))
+    return rounded(A.counterparty_profile(_alerts(spark, sf), V(spark, sf, "tx_orders")))
 
 
 def q_a06_timeline_slice(spark, sf):
     prep(spark)
     start = 852076800000000  # 1997-01-01
     end = 915148799000000    # 1998-12-31 23:59:59
-    return rounded(A.timeline_slice(_alerts(spark, sf), TB.tx_orders(spark, sf), start, end))
+    return rounded(A.timeline_slice(_alerts(spark, sf), V(spark, sf, "tx_orders"), start, end))
 
 
 def q_a07_transaction_summary(spark, sf):
     prep(spark)
-    s = A.transaction_summary(_alerts(spark, sf), TB.tx_orders(spark, sf))
+    s = A.transaction_summary(_alerts(spark, sf), V(spark, sf, "tx_orders"))
     return rounded(s.withColumn("first_date", F.col("first_date").cast("string"))
                    .withColumn("last_date", F.col("last_date").cast("string")))
 
 
 def q_a08_breakdown(spark, sf):
     prep(spark)
-    return rounded(A.breakdown(_alerts(spark, sf), TB.tx_orders(spark, sf)))
+    return rounded(A.breakdown(_alerts(spark, sf), V(spark, sf, "tx_orders")))
 
 
 def q_a09_prior_alerts(spark, sf):
@@ -69,23 +70,23 @@ def q_a09_prior_alerts(spark, sf):
 
 def q_a10_alert_record(spark, sf):
     prep(spark)
-    r = A.alert_record(_alerts(spark, sf), TB.customers_v(spark, sf), TB.tx_orders(spark, sf))
+    r = A.alert_record(_alerts(spark, sf), V(spark, sf, "customers_v"), V(spark, sf, "tx_orders"))
     return rounded(r.drop("alert_date").withColumn("account_open_date", F.col("account_open_date").cast("string")))
 
 
 def q_a11_alert_list(spark, sf):
     prep(spark)
-    return rounded(A.alert_list(_alerts(spark, sf), TB.customers_v(spark, sf)).drop("alert_date"))
+    return rounded(A.alert_list(_alerts(spark, sf), V(spark, sf, "customers_v")).drop("alert_date"))
 
 
 def q_a13_transaction_lines(spark, sf):
     prep(spark)
-    return A.transaction_lines(_alerts(spark, sf), TB.tx_orders(spark, sf), limit=20)
+    return A.transaction_lines(_alerts(spark, sf), V(spark, sf, "tx_orders"), limit=20)
 
 
 def q_a14_case_header(spark, sf):
     prep(spark)
-    h = A.case_header(_alerts(spark, sf), TB.customers_v(spark, sf), TB.tx_orders(spark, sf))
+    h = A.case_header(_alerts(spark, sf), V(spark, sf, "customers_v"), V(spark, sf, "tx_orders"))
     return h.select("alert_id", "customer_id", "name", "total_transactions", "net_flow_usd",
                     F.size("breakdown").alias("breakdown_rows"), "prior_alert_count")
 

@@ -8,7 +8,11 @@ from driftwatch.operators import stability as ST
 from driftwatch.plans.common import prep, rounded
 from driftwatch.plans.oracle_views import with_views
 from driftwatch.plans.q_alerts import ALERTS_CTE, _alerts
-from driftwatch.plans.q_model import BSI_CTE, behavioural, network
+from driftwatch.plans.q_model import BSI_CTE
+from driftwatch.plans.q_model import behavioural_stage as behavioural
+from driftwatch.plans.q_model import bsi_stage
+from driftwatch.plans.q_model import network_stage as network
+from driftwatch.plans.stages import view as V
 from driftwatch.sources import tables as TB
 
 SIGNALS_E08 = ["amount_entropy_drift", "timing_entropy_drift", "counterparty_entropy_drift",
@@ -17,11 +21,11 @@ SIGNALS_E08 = ["amount_entropy_drift", "timing_entropy_drift", "counterparty_ent
 
 
 def _bsi(spark, sf):
-    return ST.bsi_rescale(ST.bsi_raw(behavioural(spark, sf), network(spark, sf)))
+    return bsi_stage(spark, sf)
 
 
 def _scored(spark, sf):
-    return EV.attach_truth(_bsi(spark, sf), TB.customers_v(spark, sf))
+    return EV.attach_truth(_bsi(spark, sf), V(spark, sf, "customers_v"))
 
 
 def _risk(df):
@@ -48,7 +52,7 @@ def q_d04_top_alerts(spark, sf):
     b = _bsi(spark, sf)
     a = _alerts(spark, sf).join(b.select("customer_id", ((100 - F.col("bsi_score")) / 100).alias("risk_score")),
                                 "customer_id", "left")
-    t = EV.top_alerts(a, TB.customers_v(spark, sf), b)
+    t = EV.top_alerts(a, V(spark, sf, "customers_v"), b)
     return rounded(t.select("alert_id", "name", "alert_type", "total_amount", "risk_pct", "bsi_score",
                             "drift_level", "status"))
 
@@ -93,24 +97,24 @@ def q_e06_best_threshold(spark, sf):
 def q_e07_escalation_coverage(spark, sf):
     prep(spark)
     m = ST.monitoring_state(_bsi(spark, sf), "2025-12-31 00:00:00")
-    return rounded(EV.escalation_coverage(EV.attach_truth(m, TB.customers_v(spark, sf))))
+    return rounded(EV.escalation_coverage(EV.attach_truth(m, V(spark, sf, "customers_v"))))
 
 
 def q_e08_signal_separation(spark, sf):
     prep(spark)
     f = behavioural(spark, sf).join(network(spark, sf), "customer_id")
-    return rounded(EV.signal_separation(EV.attach_truth(f, TB.customers_v(spark, sf)), SIGNALS_E08))
+    return rounded(EV.signal_separation(EV.attach_truth(f, V(spark, sf, "customers_v")), SIGNALS_E08))
 
 
 def q_e09_bsi_vs_probability(spark, sf):
     prep(spark)
-    t = TB.tx_orders(spark, sf).withColumn("fraud_probability", (F.col("src_partkey") % 100) / 100.0)
+    t = V(spark, sf, "tx_orders").withColumn("fraud_probability", (F.col("src_partkey") % 100) / 100.0)
     return rounded(EV.bsi_vs_probability(_bsi(spark, sf), t))
 
 
 def q_e10_typology_catch(spark, sf):
     prep(spark)
-    return rounded(EV.typology_catch(_bsi(spark, sf), TB.customers_v(spark, sf)))
+    return rounded(EV.typology_catch(_bsi(spark, sf), V(spark, sf, "customers_v")))
 
 
 def q_e14_attach_truth(spark, sf):

@@ -8,61 +8,62 @@ from driftwatch.operators.graph import flows as GF
 from driftwatch.operators.graph import paths as GP
 from driftwatch.plans.common import prep, rounded
 from driftwatch.plans.oracle_views import with_views
+from driftwatch.plans.stages import view as V
 from driftwatch.sources import tables as TB
 
 
 def _acct(spark, sf):
-    return GE.build_edges(TB.account_txns(spark, sf))
+    return GE.build_edges(TB.account_txns(spark, sf, V(spark, sf, "tx_orders")))
 
 
 def q_g01_build_edges(spark, sf):
     prep(spark)
-    return rounded(GE.build_edges(TB.supplier_txns(spark, sf)))
+    return rounded(GE.build_edges(TB.supplier_txns(spark, sf, V(spark, sf, "tx_orders"))))
 
 
 def q_g01_build_edges_native(spark, sf):
     prep(spark)
-    return rounded(GE.build_edges(TB.tx_orders(spark, sf)))
+    return rounded(GE.build_edges(V(spark, sf, "tx_orders")))
 
 
 def q_g02_nodes(spark, sf):
     prep(spark)
-    return GE.build_nodes(_acct(spark, sf), TB.customers_v(spark, sf))
+    return GE.build_nodes(_acct(spark, sf), V(spark, sf, "customers_v"))
 
 
 def q_g03_degrees_flows(spark, sf):
     prep(spark)
-    return rounded(GF.degrees_flows(_acct(spark, sf), TB.customers_v(spark, sf)))
+    return rounded(GF.degrees_flows(_acct(spark, sf), V(spark, sf, "customers_v")))
 
 
 def q_g03_degrees_flows_native(spark, sf):
     prep(spark)
-    return rounded(GF.degrees_flows(GE.build_edges(TB.tx_orders(spark, sf)), TB.customers_v(spark, sf)))
+    return rounded(GF.degrees_flows(GE.build_edges(V(spark, sf, "tx_orders")), V(spark, sf, "customers_v")))
 
 
 def q_g04_circular_flows(spark, sf):
     prep(spark)
-    return rounded(GP.circular_flows(_acct(spark, sf), TB.customers_v(spark, sf)))
+    return rounded(GP.circular_flows(_acct(spark, sf), V(spark, sf, "customers_v")))
 
 
 def q_g04_circular_flows_len3(spark, sf):
     prep(spark)
-    return rounded(GP.circular_flows(_acct(spark, sf), TB.customers_v(spark, sf), max_len=3))
+    return rounded(GP.circular_flows(_acct(spark, sf), V(spark, sf, "customers_v"), max_len=3))
 
 
 def q_g05_layer_depth(spark, sf):
     prep(spark)
-    return GP.layer_depth(_acct(spark, sf), TB.customers_v(spark, sf))
+    return GP.layer_depth(_acct(spark, sf), V(spark, sf, "customers_v"))
 
 
 def q_g06_flow_velocity(spark, sf):
     prep(spark)
-    return rounded(GF.flow_velocity(TB.tx_orders(spark, sf), TB.customers_v(spark, sf)))
+    return rounded(GF.flow_velocity(V(spark, sf, "tx_orders"), V(spark, sf, "customers_v")))
 
 
 def q_g06_flow_velocity_events(spark, sf):
     prep(spark)
-    return rounded(GF.flow_velocity(TB.tx_events(spark, sf)))
+    return rounded(GF.flow_velocity(V(spark, sf, "tx_events")))
 
 
 def q_g14_structural_risk(spark, sf):
@@ -72,7 +73,7 @@ def q_g14_structural_risk(spark, sf):
 
 def q_g19_top_counterparties(spark, sf):
     prep(spark)
-    return rounded(GF.top_counterparties(TB.tx_orders(spark, sf)))
+    return rounded(GF.top_counterparties(V(spark, sf, "tx_orders")))
 
 
 QUERIES = {

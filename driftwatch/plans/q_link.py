@@ -8,13 +8,14 @@ from driftwatch.operators import linkage as L
 from driftwatch.operators import rates as R
 from driftwatch.plans.common import prep, rounded
 from driftwatch.plans.oracle_views import with_views
+from driftwatch.plans.stages import view as V
 from driftwatch.sources import tables as TB
 
 DAY = 86400000000
 
 
 def _links(spark, sf):
-    return L.link_fiat_to_crypto(TB.tx_orders(spark, sf))
+    return L.link_fiat_to_crypto(V(spark, sf, "tx_orders"))
 
 
 def _resolved(spark, sf):
@@ -23,13 +24,13 @@ def _resolved(spark, sf):
 
 
 def _chain(spark, sf):
-    ch = TB.chain_hops(spark, sf)
+    ch = TB.chain_hops(spark, sf, V(spark, sf, "tx_orders"))
     return ch, L.wallets_fixture(ch)
 
 
 def q_l01_purchases_deposits(spark, sf):
     prep(spark)
-    p, d = L.purchases_and_deposits(TB.tx_orders(spark, sf))
+    p, d = L.purchases_and_deposits(V(spark, sf, "tx_orders"))
     return (p.groupBy("customer_id").agg(F.count("*").alias("purchases"))
             .join(d.groupBy("customer_id").agg(F.count("*").alias("deposits")), "customer_id", "full")
             .fillna(0))
@@ -70,20 +71,20 @@ def q_l08_wallet_totals(spark, sf):
 
 def q_l10_exchange_risk(spark, sf):
     prep(spark)
-    ex = TB.tx_orders(spark, sf).filter(F.col("method") == "crypto_exchange").select(
+    ex = V(spark, sf, "tx_orders").filter(F.col("method") == "crypto_exchange").select(
         F.col("location").alias("exchange")).distinct()
     return L.exchange_risk(ex)
 
 
 def q_r01_densify_rates(spark, sf):
     prep(spark)
-    return rounded(R.densify_rates(TB.rates_sparse(spark, sf)))
+    return rounded(R.densify_rates(TB.rates_sparse(spark, sf, V(spark, sf, "tx_orders"))))
 
 
 def q_r02_static_rates(spark, sf):
     """R02 over the calendar span of tx_orders (bounds stay in the plan)."""
     prep(spark)
-    span = TB.tx_orders(spark, sf).agg(F.timestamp_micros(F.min("ts_us")).cast("date").alias("lo"),
+    span = V(spark, sf, "tx_orders").agg(F.timestamp_micros(F.min("ts_us")).cast("date").alias("lo"),
                                        F.timestamp_micros(F.max("ts_us")).cast("date").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", "hi")).alias("date"))
     cur = spark.createDataFrame([(k, float(v)) for k, v in R.STATIC.items()], "currency string, usd_rate double")
@@ -92,22 +93,22 @@ def q_r02_static_rates(spark, sf):
 
 def q_r03_rate_as_of(spark, sf):
     prep(spark)
-    t = TB.tx_orders(spark, sf).select("transaction_id", "transaction_date", "currency", "amount")
-    r = R.rate_as_of(t, TB.rates_sparse(spark, sf))
+    t = V(spark, sf, "tx_orders").select("transaction_id", "transaction_date", "currency", "amount")
+    r = R.rate_as_of(t, TB.rates_sparse(spark, sf, V(spark, sf, "tx_orders")))
     return rounded(r.select("transaction_id", "currency", "usd_rate_asof",
                             R.to_usd(F.col("amount"), F.col("usd_rate_asof")).alias("usd_value")))
 
 
 def q_r06_country_dims(spark, sf):
     prep(spark)
-    c = TB.tx_orders(spark, sf).select("country").distinct()
+    c = V(spark, sf, "tx_orders").select("country").distinct()
     return c.select("country", R.currency_for_country(F.col("country")).alias("currency"),
                     R.price_level(F.col("country")).alias("price_level"))
 
 
 def q_r07_cache_covers(spark, sf):
     prep(spark)
-    return R.cache_covers(TB.rates_sparse(spark, sf), "1995-01-01", "2001-12-31") \
+    return R.cache_covers(TB.rates_sparse(spark, sf, V(spark, sf, "tx_orders")), "1995-01-01", "2001-12-31") \
         .select("covers", F.col("first_date").cast("string").alias("first_date"),
                 F.col("last_date").cast("string").alias("last_date"))
 

@@ -15,40 +15,56 @@ from driftwatch.plans.q_graph import (depth_cte, edges_cte, flows_cte,
                                       velocity_cte, cycles3_cte)
 from driftwatch.plans.q_signals import (INT_SIGNALS, ORDERS_WINDOW_DAYS,
                                         SIGNAL_COLS_SQL, all_signals_cte)
+from driftwatch.plans.stages import stage
+from driftwatch.plans.stages import view as V
 from driftwatch.sources import tables as TB
 
 RUN_TS = "2025-12-31 00:00:00"
 
 
 def behavioural(spark, sf):
-    return S.all_signals(TB.tx_orders(spark, sf), TB.customers_v(spark, sf), window_days=ORDERS_WINDOW_DAYS)
+    return S.all_signals(V(spark, sf, "tx_orders"), V(spark, sf, "customers_v"), window_days=ORDERS_WINDOW_DAYS)
 
 
 def network(spark, sf):
-    return GS.network_signals(TB.tx_orders(spark, sf), TB.customers_v(spark, sf))
+    return GS.network_signals(V(spark, sf, "tx_orders"), V(spark, sf, "customers_v"))
 
 
 def bsi_raw(spark, sf):
-    return ST.bsi_raw(behavioural(spark, sf), network(spark, sf))
+    """I02 on the stored B14 and G18 stage outputs (its inputs)."""
+    return ST.bsi_raw(behavioural_stage(spark, sf), network_stage(spark, sf))
+
+
+# stage outputs (S10) for the downstream evaluation / dashboard queries
+def behavioural_stage(spark, sf):
+    return stage(spark, sf, "behavioural", lambda: behavioural(spark, sf))
+
+
+def network_stage(spark, sf):
+    return stage(spark, sf, "network", lambda: network(spark, sf))
+
+
+def bsi_stage(spark, sf):
+    return stage(spark, sf, "bsi", lambda: ST.bsi_rescale(bsi_raw(spark, sf)))
 
 
 def q_f01_traditional_features(spark, sf):
     prep(spark)
-    return rounded(FT.traditional_features(TB.customers_v(spark, sf), TB.tx_orders(spark, sf)))
+    return rounded(FT.traditional_features(V(spark, sf, "customers_v"), V(spark, sf, "tx_orders")))
 
 
 def q_f02_rapid_sequence(spark, sf):
     prep(spark)
-    return FT.rapid_sequence(TB.tx_events(spark, sf))
+    return FT.rapid_sequence(V(spark, sf, "tx_events"))
 
 
 def q_f05_model_matrix(spark, sf):
     """F04 + F05: merged, sanitised 95-feature matrix."""
     prep(spark)
-    beh = behavioural(spark, sf)
-    net = network(spark, sf)
-    bsi = ST.bsi_rescale(ST.bsi_raw(beh, net))
-    trad = FT.traditional_features(TB.customers_v(spark, sf), TB.tx_orders(spark, sf))
+    beh = behavioural_stage(spark, sf)
+    net = network_stage(spark, sf)
+    bsi = bsi_stage(spark, sf)
+    trad = FT.traditional_features(V(spark, sf, "customers_v"), V(spark, sf, "tx_orders"))
     return rounded(FT.sanitize(FT.merge_features(trad, beh, net, bsi)))
 
 

@@ -7,6 +7,7 @@ from driftwatch.functions.exprs import entropy_agg
 from driftwatch.operators import signals as S
 from driftwatch.plans.common import prep, rounded
 from driftwatch.plans.oracle_views import with_views
+from driftwatch.plans.stages import view as V
 from driftwatch.sources import tables as TB
 
 ORDERS_WINDOW_DAYS = 180   # FIXTURES §2: 30-day windows are too sparse on tx_orders
@@ -16,7 +17,7 @@ EVENTS_WINDOW_DAYS = 3
 def q_b01_entropy(spark, sf):
     """B01 on a categorical column: entropy of payment method per customer."""
     prep(spark)
-    t = TB.tx_orders(spark, sf)
+    t = V(spark, sf, "tx_orders")
     c = t.groupBy("customer_id", "method").agg(F.count("*").alias("n"))
     return rounded(c.groupBy("customer_id").agg(entropy_agg("n").alias("method_entropy")))
 
@@ -24,47 +25,47 @@ def q_b01_entropy(spark, sf):
 def q_b04_entropies(spark, sf):
     """B02–B04 over each customer's whole history (tx_events)."""
     prep(spark)
-    return rounded(S.grouped_entropies(TB.tx_events(spark, sf), ["customer_id"]))
+    return rounded(S.grouped_entropies(V(spark, sf, "tx_events"), ["customer_id"]))
 
 
 def q_b06_entropy_drift(spark, sf):
     prep(spark)
-    return rounded(S.entropy_drift(TB.tx_orders(spark, sf), ORDERS_WINDOW_DAYS))
+    return rounded(S.entropy_drift(V(spark, sf, "tx_orders"), ORDERS_WINDOW_DAYS))
 
 
 def q_b06_entropy_drift_events(spark, sf):
     prep(spark)
-    return rounded(S.entropy_drift(TB.tx_events(spark, sf), EVENTS_WINDOW_DAYS))
+    return rounded(S.entropy_drift(V(spark, sf, "tx_events"), EVENTS_WINDOW_DAYS))
 
 
 def q_b07_temporal_burst(spark, sf):
     prep(spark)
-    return rounded(S.temporal_burst(TB.tx_events(spark, sf)))
+    return rounded(S.temporal_burst(V(spark, sf, "tx_events")))
 
 
 def q_b07_temporal_burst_orders(spark, sf):
     prep(spark)
-    return rounded(S.temporal_burst(TB.tx_orders(spark, sf)))
+    return rounded(S.temporal_burst(V(spark, sf, "tx_orders")))
 
 
 def q_b08_counterparty_expansion(spark, sf):
     prep(spark)
-    return rounded(S.counterparty_expansion(TB.tx_orders(spark, sf), ORDERS_WINDOW_DAYS))
+    return rounded(S.counterparty_expansion(V(spark, sf, "tx_orders"), ORDERS_WINDOW_DAYS))
 
 
 def q_b08_counterparty_expansion_events(spark, sf):
     prep(spark)
-    return rounded(S.counterparty_expansion(TB.tx_events(spark, sf), EVENTS_WINDOW_DAYS))
+    return rounded(S.counterparty_expansion(V(spark, sf, "tx_events"), EVENTS_WINDOW_DAYS))
 
 
 def q_b13_amount_anomaly(spark, sf):
     prep(spark)
-    return rounded(S.amount_anomaly(TB.tx_orders(spark, sf)))
+    return rounded(S.amount_anomaly(V(spark, sf, "tx_orders")))
 
 
 def q_b14_all_signals(spark, sf):
     prep(spark)
-    return rounded(S.all_signals(TB.tx_orders(spark, sf), TB.customers_v(spark, sf),
+    return rounded(S.all_signals(V(spark, sf, "tx_orders"), V(spark, sf, "customers_v"),
                                  window_days=ORDERS_WINDOW_DAYS))
 
 

@@ -165,26 +165,26 @@ def customers_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def account_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def account_txns(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
     """Account-to-account transfers: customer -> customer ``l_partkey % n_customers``
     for lines with ``l_quantity >= 49``.  The modulus is a one-row aggregate
     joined in (a scalar, not a driver round trip)."""
-    tx = tx_orders(spark, sf_dir).filter(F.col("src_quantity") >= 49)
+    tx = (tx if tx is not None else tx_orders(spark, sf_dir)).filter(F.col("src_quantity") >= 49)
     n = read_table(spark, sf_dir, "customer").agg(F.count("*").alias("_ncust"))
     return (tx.crossJoin(F.broadcast(n))
             .withColumn("counterparty", (F.col("src_partkey") % F.col("_ncust")).cast("string"))
             .drop("_ncust"))
 
 
-def supplier_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def supplier_txns(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
     """Customer -> supplier transfers (bipartite, like the native graph)."""
-    return tx_orders(spark, sf_dir).withColumn(
+    return (tx if tx is not None else tx_orders(spark, sf_dir)).withColumn(
         "counterparty", F.concat(F.lit("s"), F.col("src_suppkey").cast("string")))
 
 
-def chain_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chain_hops(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
     """On-chain hops for the crypto rows of ``tx_orders``."""
-    tx = tx_orders(spark, sf_dir).filter(F.col("method") == "crypto_exchange")
+    tx = (tx if tx is not None else tx_orders(spark, sf_dir)).filter(F.col("method") == "crypto_exchange")
     pattern = pick(["direct", "layered", "mixer", "peel_chain"], F.col("src_partkey") % 4)
     return tx.select(
         F.concat(F.lit("c-"), F.col("transaction_id")).alias("chain_txn_id"),
@@ -206,10 +206,10 @@ def chain_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rates_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rates_sparse(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
     """Daily rates (long form) over the span of ``tx_orders`` with weekends
     removed: static base × (1 + ((day_of_year*7) % 11 - 5)/1000)."""
-    tx = tx_orders(spark, sf_dir)
+    tx = tx if tx is not None else tx_orders(spark, sf_dir)
     span = tx.agg(F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi"))
     days = span.select(F.explode(F.sequence(
         F.timestamp_micros("lo").cast("date"), F.timestamp_micros("hi").cast("date"))).alias("date"))
