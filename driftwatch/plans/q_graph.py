@@ -239,3 +239,149 @@ SELECT customer_id, counterparty, round(inflow, 6) AS inflow, round(outflow, 6)
 FROM r WHERE rank <= 30
 """),
 }
+
+
+# ------------------------------------------------------------ G15–G17
+from driftwatch.operators.graph import ego as GG  # noqa: E402
+from driftwatch.operators.graph import temporal as GT  # noqa: E402
+
+EV_WINDOW_DAYS, EV_PERIODS = 5, 6   # FIXTURES §2: G15 on tx_events at 5 days × 6
+
+
+def q_g15_temporal_snapshots(spark, sf):
+    prep(spark)
+    t = V(spark, sf, "tx_events")
+    snap = GT.temporal_snapshots(t, EV_WINDOW_DAYS, EV_PERIODS)
+    return GT.dense_snapshots(snap, GE.graph_nodes(GE.build_edges(t)), EV_PERIODS)
+
+
+def q_g16_temporal_signals(spark, sf):
+    prep(spark)
+    t = V(spark, sf, "tx_events")
+    users = t.select("customer_id").distinct()
+    return rounded(GT.temporal_signals(t, None, users, EV_WINDOW_DAYS, EV_PERIODS))
+
+
+def q_g16_temporal_signals_orders(spark, sf):
+    prep(spark)
+    return rounded(GT.temporal_signals(V(spark, sf, "tx_orders"), None, V(spark, sf, "customers_v"), 180, 6))
+
+
+def q_g17_ego_signals(spark, sf):
+    prep(spark)
+    return rounded(GG.ego_signals(_acct(spark, sf), V(spark, sf, "customers_v")))
+
+
+QUERIES.update({
+    "g15_temporal_snapshots": q_g15_temporal_snapshots,
+    "g16_temporal_signals": q_g16_temporal_signals,
+    "g16_temporal_signals_orders": q_g16_temporal_signals_orders,
+    "g17_ego_signals": q_g17_ego_signals,
+})
+
+
+def snapshots_cte(src: str, w_days: int, periods: int, p: str) -> str:
+    w = w_days * 86400000000
+    return f"""
+{p}v AS (SELECT CAST(customer_id AS VARCHAR) AS src, counterparty AS dst, ts_us FROM {src}
+        WHERE counterparty IS NOT NULL AND counterparty NOT IN ('', 'None', 'nan')),
+{p}mx AS (SELECT max(ts_us) AS m FROM {p}v),
+{p}e0 AS (SELECT DISTINCT src, dst, CAST({periods - 1} - (ceil((m - ts_us) / {w}) - 1) AS INTEGER) AS period
+          FROM {p}v, {p}mx WHERE ts_us < m),
+{p}e AS (SELECT * FROM {p}e0 WHERE period >= 0 AND period < {periods}),
+{p}nw AS (SELECT * FROM {p}e x WHERE NOT EXISTS
+          (SELECT 1 FROM {p}e y WHERE y.src = x.src AND y.dst = x.dst AND y.period = x.period - 1)),
+{p}deg AS (SELECT id, period, count(*) AS degree FROM
+           (SELECT src AS id, period FROM {p}e UNION ALL SELECT dst, period FROM {p}e) GROUP BY 1, 2),
+{p}nn AS (SELECT id, period, count(*) AS new_edges FROM
+          (SELECT src AS id, period FROM {p}nw UNION ALL SELECT dst, period FROM {p}nw) GROUP BY 1, 2),
+{p}snap AS (SELECT coalesce(d.id, n.id) AS id, coalesce(d.period, n.period) AS period,
+                   coalesce(degree, 0) AS degree, coalesce(new_edges, 0) AS new_edges
+            FROM {p}deg d FULL JOIN {p}nn n ON d.id = n.id AND d.period = n.period)"""
+
+
+def temporal_sig_cte(p: str, periods: int) -> str:
+    ps = range(periods)
+    piv = ", ".join(f"CAST(coalesce(max(degree) FILTER (WHERE period = {i}), 0) AS DOUBLE) AS d{i}, "
+                    f"CAST(coalesce(max(new_edges) FILTER (WHERE period = {i}), 0) AS DOUBLE) AS n{i}" for i in ps)
+    xbar = (periods - 1) / 2
+    sxx = sum((i - xbar) ** 2 for i in ps)
+    slope = " + ".join(f"({(i - xbar) / sxx!r}) * d{i}" for i in ps)
+    mean_n = "(" + " + ".join(f"n{i}" for i in ps) + f") / {periods}"
+    std_n = "sqrt((" + " + ".join(f"(n{i} - {mean_n}) * (n{i} - {mean_n})" for i in ps) + f") / {periods})"
+    mx = "greatest(" + ", ".join(f"d{i} - d{i - 1}" for i in list(ps)[1:]) + ")"
+    whens = []
+    for i in list(ps)[1:]:
+        below_any = " OR ".join(f"d{j} <= 3" for j in range(i))
+        last = "CASE " + " ".join(f"WHEN d{j} <= 3 THEN {i - j}" for j in reversed(range(i))) + " END"
+        whens.append(f"WHEN d{i} >= 8 AND ({below_any}) THEN {last}")
+    hub = "CASE " + " ".join(whens) + " ELSE 0 END"
+    act = "greatest(" + ", ".join(f"d{i}" for i in ps) + ") > 0"
+    return f"""
+{p}piv AS (SELECT id, {piv} FROM {p}snap GROUP BY id),
+{p}sig AS (
+  SELECT id,
+    CAST(CASE WHEN {act} THEN n{periods - 1} ELSE 0 END AS BIGINT) AS new_counterparties_last_window,
+    CASE WHEN {act} THEN {mean_n} ELSE 0 END AS avg_new_counterparties_per_window,
+    CAST(CASE WHEN {act} THEN {mx} ELSE 0 END AS BIGINT) AS max_degree_change,
+    CASE WHEN {act} THEN {slope} ELSE 0 END AS degree_trend_slope,
+    CAST(CASE WHEN {act} THEN {hub} ELSE 0 END AS BIGINT) AS hub_emergence_speed,
+    CASE WHEN {act} THEN {std_n} ELSE 0 END AS edge_volatility
+  FROM {p}piv)"""
+
+
+TEMP_OUT = ("customer_id, coalesce(new_counterparties_last_window, 0) AS new_counterparties_last_window, "
+            "round(coalesce(avg_new_counterparties_per_window, 0), 6) AS avg_new_counterparties_per_window, "
+            "coalesce(max_degree_change, 0) AS max_degree_change, round(coalesce(degree_trend_slope, 0), 6) AS degree_trend_slope, "
+            "coalesce(hub_emergence_speed, 0) AS hub_emergence_speed, round(coalesce(edge_volatility, 0), 6) AS edge_volatility")
+
+EGO_SQL = """
+x_e AS (SELECT DISTINCT src, dst FROM g_edges),
+x_succ AS (SELECT src AS c, dst AS u FROM x_e WHERE src <> dst),
+x_mem AS (SELECT c, u AS x FROM x_succ UNION SELECT DISTINCT c, c FROM x_succ),
+x_k AS (SELECT c, count(*) AS k FROM x_succ GROUP BY 1),
+x_m AS (SELECT m1.c, count(*) AS m FROM x_mem m1 JOIN x_e e ON e.src = m1.x
+        JOIN x_mem m2 ON m2.c = m1.c AND m2.x = e.dst GROUP BY 1),
+x_und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM x_e WHERE src <> dst),
+x_T AS (SELECT s1.c, count(*) AS t FROM x_succ s1 JOIN x_und ON x_und.a = s1.u
+        JOIN x_succ s2 ON s2.c = s1.c AND s2.u = x_und.b GROUP BY 1),
+x_deg AS (SELECT m1.c, m1.x, count(*) AS d FROM x_mem m1 JOIN x_und ON x_und.a = m1.x OR x_und.b = m1.x
+          JOIN x_mem m2 ON m2.c = m1.c AND m2.x = (CASE WHEN x_und.a = m1.x THEN x_und.b ELSE x_und.a END)
+          GROUP BY 1, 2),
+x_triads AS (SELECT c, sum(d * (d - 1) / 2) AS triads FROM x_deg GROUP BY 1),
+x_tri AS (SELECT m1.c, count(*) AS tri FROM x_mem m1 JOIN x_mem m2 ON m2.c = m1.c AND m2.x > m1.x
+          JOIN x_mem m3 ON m3.c = m1.c AND m3.x > m2.x
+          JOIN x_und u1 ON u1.a = m1.x AND u1.b = m2.x
+          JOIN x_und u2 ON u2.a = m2.x AND u2.b = m3.x
+          JOIN x_und u3 ON u3.a = m1.x AND u3.b = m3.x GROUP BY 1),
+x_sig AS (
+  SELECT k.c, k.k, coalesce(m.m, 0) / ((k.k + 1) * k.k) AS ego_density,
+    CASE WHEN k.k >= 2 THEN 2 * coalesce(t.t, 0) / (k.k * (k.k - 1)) ELSE 0 END AS ego_clustering_coeff,
+    CASE WHEN k.k + 1 >= 3 AND coalesce(tr.tri, 0) > 0 THEN 3 * tr.tri / td.triads ELSE 0 END AS ego_triadic_closure
+  FROM x_k k LEFT JOIN x_m m USING (c) LEFT JOIN x_T t USING (c) LEFT JOIN x_tri tr USING (c) LEFT JOIN x_triads td USING (c)
+)
+SELECT cv.customer_id, round(coalesce(ego_density, 0), 6) AS ego_density,
+  round(coalesce(ego_clustering_coeff, 0), 6) AS ego_clustering_coeff,
+  round(coalesce(ego_triadic_closure, 0), 6) AS ego_triadic_closure, CAST(coalesce(k, 0) AS BIGINT) AS ego_size
+FROM customers_v cv LEFT JOIN x_sig ON CAST(cv.customer_id AS VARCHAR) = x_sig.c
+"""
+
+ORACLES.update({
+    "g15_temporal_snapshots": with_views("," + edges_cte("tx_events", "g_") + ","
+                                         + snapshots_cte("tx_events", EV_WINDOW_DAYS, EV_PERIODS, "t_") + """,
+nodes AS (SELECT src AS id FROM g_edges UNION SELECT dst FROM g_edges),
+grid AS (SELECT id, CAST(unnest(range(0, 6)) AS INTEGER) AS period FROM nodes)
+SELECT g.id, g.period, CAST(coalesce(s.degree, 0) AS BIGINT) AS degree, CAST(coalesce(s.new_edges, 0) AS BIGINT) AS new_edges
+FROM grid g LEFT JOIN t_snap s ON s.id = g.id AND s.period = g.period
+"""),
+    "g16_temporal_signals": with_views("," + snapshots_cte("tx_events", EV_WINDOW_DAYS, EV_PERIODS, "t_") + ","
+                                       + temporal_sig_cte("t_", EV_PERIODS) + f""",
+u AS (SELECT DISTINCT customer_id FROM tx_events)
+SELECT {TEMP_OUT} FROM u LEFT JOIN t_sig ON CAST(u.customer_id AS VARCHAR) = t_sig.id
+"""),
+    "g16_temporal_signals_orders": with_views("," + snapshots_cte("tx_orders", 180, 6, "t_") + ","
+                                              + temporal_sig_cte("t_", 6) + f"""
+SELECT {TEMP_OUT} FROM customers_v u LEFT JOIN t_sig ON CAST(u.customer_id AS VARCHAR) = t_sig.id
+"""),
+    "g17_ego_signals": with_views("," + edges_cte("account_txns", "g_") + "," + EGO_SQL),
+})
