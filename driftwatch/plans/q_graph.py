@@ -385,3 +385,63 @@ SELECT {TEMP_OUT} FROM customers_v u LEFT JOIN t_sig ON CAST(u.customer_id AS VA
 """),
     "g17_ego_signals": with_views("," + edges_cte("account_txns", "g_") + "," + EGO_SQL),
 })
+
+
+# ------------------------------------------------------------ G07–G13
+from driftwatch.operators.graph import centrality as GC  # noqa: E402
+from driftwatch.operators.graph import community as GM  # noqa: E402
+
+
+def q_g07_pagerank(spark, sf):
+    prep(spark)
+    return rounded(GC.pagerank(_acct(spark, sf)))
+
+
+def q_g08_betweenness(spark, sf):
+    """Exact (n ≤ 300 pivots) weighted betweenness on the events graph."""
+    prep(spark)
+    return rounded(GC.betweenness(GE.build_edges(V(spark, sf, "tx_events"))))
+
+
+def q_g09_hits(spark, sf):
+    prep(spark)
+    return rounded(GC.hits(GE.build_edges(V(spark, sf, "tx_orders"))))
+
+
+def q_g10_communities(spark, sf):
+    prep(spark)
+    lab, q = GM.communities(_acct(spark, sf))
+    return lab.crossJoin(q.select(F.round("modularity", 6).alias("modularity")))
+
+
+def q_g12_community_signals(spark, sf):
+    prep(spark)
+    e = _acct(spark, sf)
+    c = V(spark, sf, "customers_v")
+    risky = GM.resolve_risk_labels(c.withColumn("is_sar", F.col("is_suspicious")), e)
+    return rounded(GM.community_signals(e, c, risky))
+
+
+def q_g13_risk_labels(spark, sf):
+    prep(spark)
+    # numeric branch: 85th percentile of a per-customer score (total volume)
+    c = V(spark, sf, "customers_v").join(
+        V(spark, sf, "tx_orders").groupBy("customer_id").agg(F.sum("amount").alias("risk_score")), "customer_id")
+    return GM.resolve_risk_labels(c, _acct(spark, sf))
+
+
+QUERIES.update({
+    "g07_pagerank": q_g07_pagerank,
+    "g08_betweenness": q_g08_betweenness,
+    "g09_hits": q_g09_hits,
+    "g10_communities": q_g10_communities,
+    "g12_community_signals": q_g12_community_signals,
+    "g13_risk_labels": q_g13_risk_labels,
+})
+
+ORACLES["g13_risk_labels"] = with_views(""",
+rs AS (SELECT customer_id, sum(amount) AS risk_score FROM tx_orders GROUP BY 1),
+c AS (SELECT cv.customer_id, rs.risk_score FROM customers_v cv JOIN rs USING (customer_id)),
+t AS (SELECT quantile_cont(risk_score, 0.85) AS thr FROM c)
+SELECT CAST(customer_id AS VARCHAR) AS id, risk_score >= thr AS is_risky FROM c CROSS JOIN t
+""")
