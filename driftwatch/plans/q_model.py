@@ -99,7 +99,36 @@ def q_m03_level_counts(spark, sf):
     return ST.level_counts(ST.monitoring_state(ST.bsi_rescale(bsi_raw(spark, sf)), RUN_TS))
 
 
+def q_i05_bsi_timeline(spark, sf):
+    """I05 on tx_events: 6-day windows every 3 days (FIXTURES §2)."""
+    prep(spark)
+    return rounded(ST.bsi_timeline(V(spark, sf, "tx_events"), 6, 3, 3))
+
+
+def q_m02_sudden_drop(spark, sf):
+    prep(spark)
+    t = ST.bsi_timeline(V(spark, sf, "tx_events"), 6, 3, 3)
+    return rounded(ST.sudden_drop(t.select("customer_id", "window_start_us", "bsi_score")))
+
+
+def q_m04_streaming_monitor(spark, sf):
+    """M02 as a stateful stream over the scored windows written as
+    Parquet files (one file per trigger)."""
+    import hashlib
+    from driftwatch.session import checkpoint_dir
+    from driftwatch.streaming import monitor as MS
+    prep(spark)
+    base = (f"{checkpoint_dir(spark).rstrip('/')}/streams/{spark.sparkContext.applicationId}/"
+            f"{hashlib.md5(sf.encode()).hexdigest()[:12]}")
+    MS.write_scored_windows(ST.bsi_timeline(V(spark, sf, "tx_events"), 6, 3, 3), f"{base}/in")
+    out = MS.run_to_completion(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    return rounded(out)
+
+
 QUERIES = {
+    "m04_streaming_monitor": q_m04_streaming_monitor,
+    "i05_bsi_timeline": q_i05_bsi_timeline,
+    "m02_sudden_drop": q_m02_sudden_drop,
     "f01_traditional_features": q_f01_traditional_features,
     "f02_rapid_sequence": q_f02_rapid_sequence,
     "f05_model_matrix": q_f05_model_matrix,
