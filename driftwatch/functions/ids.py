@@ -3,6 +3,7 @@
 The frame is range-partitioned by the order (a distributed sort); each
 partition numbers its own rows, and a tiny table of per-partition counts
 (one row per partition, broadcast) turns local numbers into global offsets.
+The numbered frame is checkpointed before it is read twice.
 """
 from __future__ import annotations
 
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def consecutive_index(df: DataFrame, order_cols: list, out: str = "idx") -> DataFrame:
+    from driftwatch.session import cut_lineage
     s = df.repartitionByRange(*order_cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order_cols)
-    s = s.withColumn("_rn", F.row_number().over(w))
+    # materialised once: the partition ids and local numbers must be the same
+    # rows in both branches below, whatever the upstream order was
+    s = cut_lineage(s.withColumn("_rn", F.row_number().over(w)))
     counts = s.groupBy("_pid").agg(F.max("_rn").alias("_c"))
     offs = counts.select("_pid", F.coalesce(
         F.sum("_c").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
