@@ -122,3 +122,53 @@ QUERIES = {
     "f17_counterfactual_text": q_f17_counterfactual_text,
 }
 ORACLES: dict = {}
+
+
+# ------------------------------------------------------------ F11–F13, F16
+from driftwatch.operators import attribution as AT  # noqa: E402
+
+
+def _attr(spark, sf):
+    model, cols, _ = trained(spark, sf)
+    return stage(spark, sf, "attributions", lambda: AT.attributions(model, matrix(spark, sf), cols))
+
+
+def q_f11_attributions(spark, sf):
+    prep(spark)
+    return rounded(AT.top_drivers(_attr(spark, sf), 10))
+
+
+def q_f11_additivity(spark, sf):
+    """Property: bias + Σ contributions equals the model margin per row."""
+    prep(spark)
+    model, cols, _ = trained(spark, sf)
+    a = _attr(spark, sf).groupBy("customer_id").agg(F.sum("contribution").alias("attributed_margin"))
+    raw = model.transform(matrix(spark, sf)).select(
+        "customer_id", __import__("pyspark.ml.functions", fromlist=["vector_to_array"])
+        .vector_to_array("rawPrediction")[1].alias("model_margin"))
+    return rounded(a.join(raw, "customer_id").withColumn(
+        "abs_error", F.abs(F.col("attributed_margin") - F.col("model_margin"))))
+
+
+def q_f12_global_importance(spark, sf):
+    prep(spark)
+    return rounded(AT.global_importance(_attr(spark, sf)))
+
+
+def q_f13_dimension_weights(spark, sf):
+    prep(spark)
+    return rounded(AT.dimension_weights(AT.global_importance(_attr(spark, sf))))
+
+
+def q_f16_finding_texts(spark, sf):
+    prep(spark)
+    return AT.finding_texts(AT.top_drivers(_attr(spark, sf), 10))
+
+
+QUERIES.update({
+    "f11_attributions": q_f11_attributions,
+    "f11_additivity": q_f11_additivity,
+    "f12_global_importance": q_f12_global_importance,
+    "f13_dimension_weights": q_f13_dimension_weights,
+    "f16_finding_texts": q_f16_finding_texts,
+})
