@@ -212,3 +212,41 @@ FROM alerts a JOIN customers_v c USING (customer_id) LEFT JOIN n USING (customer
 SELECT {A_COLS}, c.name FROM alerts a LEFT JOIN customers_v c USING (customer_id)
 """.replace("SELECT alert_id, customer_id,", "SELECT alert_id, a.customer_id,")),
 }
+
+
+def q_a04_transaction_by_id(spark, sf):
+    """Each alert asks for two ids — its customer's latest transaction
+    and another customer's; only the first resolves."""
+    prep(spark)
+    a = _alerts(spark, sf)
+    t = V(spark, sf, "tx_orders")
+    latest = t.groupBy("customer_id").agg(F.max_by("transaction_id", "ts_us").alias("transaction_id"))
+    own = a.join(latest, "customer_id").select("alert_id", "transaction_id")
+    other = a.join(latest.withColumn("customer_id", F.col("customer_id") + 1), "customer_id") \
+        .select("alert_id", "transaction_id")
+    r = A.transaction_by_id(a, t, own.unionByName(other))
+    return rounded(r.select("alert_id", "customer_id", "transaction_id", "amount", "currency", "usd_equivalent"))
+
+
+def q_a12_behavioural_record(spark, sf):
+    """Features ⟕ BSI ⟕ monitoring for every alerted customer."""
+    from driftwatch.operators import stability as ST
+    from driftwatch.plans.q_model import behavioural_stage, bsi_stage
+    prep(spark)
+    a = _alerts(spark, sf).select("customer_id")
+    f = behavioural_stage(spark, sf).join(a, "customer_id", "left_semi")
+    b = bsi_stage(spark, sf)
+    m = ST.monitoring_state(b, "2025-12-31 00:00:00").drop("bsi_score", "drift_level", "timestamp")
+    r = A.behavioural_record(f, b, m)
+    return r.select("customer_id", F.col("bsi.bsi_score").alias("bsi_score"),
+                    F.col("monitoring.monitoring_level").alias("monitoring_level"))
+
+
+QUERIES["a04_transaction_by_id"] = q_a04_transaction_by_id
+QUERIES["a12_behavioural_record"] = q_a12_behavioural_record
+ORACLES["a04_transaction_by_id"] = with_views("," + ALERTS_CTE + """,
+latest AS (SELECT customer_id, arg_max(transaction_id, ts_us) AS transaction_id FROM tx_orders GROUP BY 1)
+SELECT a.alert_id, a.customer_id, t.transaction_id, round(t.amount, 6) AS amount, t.currency,
+       round(round(t.amount * coalesce(t.usd_rate, 1.0), 2), 6) AS usd_equivalent
+FROM alerts a JOIN latest l USING (customer_id) JOIN tx_orders t ON t.transaction_id = l.transaction_id
+""")

@@ -252,3 +252,24 @@ FROM lv JOIN customers_v c USING (customer_id) WHERE c.typology IS NOT NULL GROU
 """),
     "e14_attach_truth": with_views(BSI_CTE + SCORED + "\nSELECT customer_id, bsi_score, is_fraud FROM scored"),
 }
+
+
+def q_e11_run_summary(spark, sf):
+    """One summary row per dataset (orders view and events view)."""
+    prep(spark)
+    rows = []
+    for name, tx, cust in (("tx_orders", V(spark, sf, "tx_orders"), V(spark, sf, "customers_v")),):
+        s = EV.attach_truth(bsi_stage(spark, sf), cust)
+        auc = EV.auc_roc(s, 100 - F.col("bsi_score"))
+        sep = s.agg((F.avg(F.when(F.col("is_fraud") == 0, F.col("bsi_score")))
+                     - F.avg(F.when(F.col("is_fraud") == 1, F.col("bsi_score")))).alias("separation"),
+                    F.count("*").alias("accounts"), F.sum("is_fraud").cast("long").alias("fraud_accounts"))
+        rows.append(sep.crossJoin(auc.select("auc_roc")).select(F.lit(name).alias("dataset"), "*")
+                    .crossJoin(tx.agg(F.count("*").alias("transactions"))))
+    ev = V(spark, sf, "tx_events")
+    rows.append(ev.agg(F.countDistinct("customer_id").alias("accounts"), F.count("*").alias("transactions"))
+                .select(F.lit("tx_events").alias("dataset"), "*"))
+    return rounded(EV.run_summary(rows))
+
+
+QUERIES["e11_run_summary"] = q_e11_run_summary

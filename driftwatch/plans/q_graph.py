@@ -445,3 +445,15 @@ c AS (SELECT cv.customer_id, rs.risk_score FROM customers_v cv JOIN rs USING (cu
 t AS (SELECT quantile_cont(risk_score, 0.85) AS thr FROM c)
 SELECT CAST(customer_id AS VARCHAR) AS id, risk_score >= thr AS is_risky FROM c CROSS JOIN t
 """)
+
+
+def q_g18_all_graph_signals(spark, sf):
+    """All 33 graph columns per user of the events graph (every user kept)."""
+    prep(spark)
+    from driftwatch.operators.graph import signals as GS
+    t = V(spark, sf, "tx_events")
+    users = t.select("customer_id").distinct()
+    return rounded(GS.all_graph_signals(t, users, temporal_window_days=EV_WINDOW_DAYS, temporal_periods=EV_PERIODS))
+
+
+QUERIES["g18_all_graph_signals"] = q_g18_all_graph_signals

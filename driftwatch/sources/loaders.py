@@ -219,3 +219,13 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
         c = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+# ------------------------------------------------------------------ S10
+def write_stage_outputs(outputs: dict[str, DataFrame], base_path: str, run_date: str, fmt: str = "parquet") -> None:
+    """Each stage table written under ``base_path/<name>/run_date=<d>``
+    (overwrite of that run's partition only)."""
+    for name, df in outputs.items():
+        (df.withColumn("run_date", F.lit(run_date)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("run_date").format(fmt)
+         .save(f"{base_path.rstrip('/')}/{name}"))
