@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["q_signals", "q_graph", "q_model", "q_link", "q_alerts", "q_eval", "q_ml", "q_reports", "q_sources"]
+AREAS = ["q_signals", "q_graph", "q_model", "q_link", "q_alerts", "q_eval", "q_ml", "q_reports", "q_sources", "q_extra"]
 
 
 def _modules():
