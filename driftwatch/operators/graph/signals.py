@@ -18,8 +18,10 @@ NETWORK_COLS = ["has_circular_flow", "num_cycles", "max_cycle_length", "cycle_to
 
 
 def network_signals(txns: DataFrame, customers: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """G03 + G04 + G05 + G06 per customer (15 columns)."""
-    e = edges if edges is not None else GE.build_edges(txns)
+    """G03 + G04 + G05 + G06 per customer (15 columns).  The edge table feeds
+    three operators, so it is computed once and checkpointed."""
+    from driftwatch.session import cut_lineage
+    e = cut_lineage(edges if edges is not None else GE.build_edges(txns))
     c = customers.select(K)
     circ = GP.circular_flows(e, c)
     flows = GF.degrees_flows(e, c)
@@ -35,7 +37,8 @@ def all_graph_signals(txns: DataFrame, customers: DataFrame, risk_labels: DataFr
     from driftwatch.operators.graph import community as GM
     from driftwatch.operators.graph import ego as GG
     from driftwatch.operators.graph import temporal as GT
-    e = GE.build_edges(txns)
+    from driftwatch.session import cut_lineage
+    e = cut_lineage(GE.build_edges(txns))
     c = customers.select(K)
     base = network_signals(txns, customers, e)
     cen = GC.centrality_signals(e, c)

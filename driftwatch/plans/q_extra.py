@@ -173,3 +173,27 @@ FROM bu_out
     "s01_read_tables": "SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", CAST(count(*) AS BIGINT) AS rows FROM {t}" for t in TB.DRIVER_TABLES) + ")",
 }
+
+
+from driftwatch.operators import features as FT  # noqa: E402
+from driftwatch.plans import q_model  # noqa: E402
+
+
+def q_f03_ppp_asymmetry(spark, sf):
+    prep(spark)
+    f = FT.traditional_features(V(spark, sf, "customers_v"), V(spark, sf, "tx_orders"))
+    return rounded(f.select("customer_id", "avg_ppp_asymmetry"))
+
+
+def q_f04_merge_features(spark, sf):
+    """traditional ⟕ behavioural ⟕ network ⟕ BSI, nulls → 0."""
+    prep(spark)
+    trad = FT.traditional_features(V(spark, sf, "customers_v"), V(spark, sf, "tx_orders"))
+    m = FT.merge_features(trad, q_model.behavioural_stage(spark, sf), q_model.network_stage(spark, sf),
+                          q_model.bsi_stage(spark, sf))
+    return rounded(m.select("customer_id", "total_transactions", "amount_entropy_drift", "funnel_ratio", "bsi_score"))
+
+
+QUERIES["f03_ppp_asymmetry"] = q_f03_ppp_asymmetry
+QUERIES["f04_merge_features"] = q_f04_merge_features
+ORACLES["f03_ppp_asymmetry"] = "SELECT customer_id, avg_ppp_asymmetry FROM (" + q_model.ORACLES["f01_traditional_features"] + ") q"
