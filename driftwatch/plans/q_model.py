@@ -312,3 +312,100 @@ SELECT monitoring_level, monitoring_level IN ('immediate', 'intensive') AS escal
        CAST(count(*) AS BIGINT) AS customers FROM lv GROUP BY 1, 2
 """),
 }
+
+
+# ------------------------------------------------------------ I05 / M02 oracle
+def bsi_sql(rel: str, p: str) -> str:
+    """CTEs ``{p}bsi`` (raw index, level, dimensions) from a relation holding
+    the behavioural + network signal columns."""
+    return f"""
+{p}d AS (
+  SELECT customer_id,
+    1 - {n01('(amount_entropy_drift + timing_entropy_drift + counterparty_entropy_drift) / 3', 0, 2.0)} AS e,
+    (1 - {n01('greatest(burstiness_index, 0)', 0, 1.0)}) * 0.4 + (1 - {n01('burst_events', 0, 30)}) * 0.3
+      + (1 - {n01('max_daily_count', 0, 15)}) * 0.3 AS t,
+    (1 - {n01('counterparty_expansion_rate', 0, 15)}) * 0.4 + (1 - {n01('abs(counterparty_novelty_slope)', 0, 3)}) * 0.3
+      + (1 - {n01('total_unique_counterparties', 0, 80)}) * 0.3 AS c,
+    1 - ({n01('benford_deviation', 0, 1.5)} * 0.3 + {n01('structuring_score', 0, 0.3)} * 0.3
+         + {n01('abs(amount_skewness)', 0, 5)} * 0.2 + {n01('abs(amount_kurtosis)', 0, 20)} * 0.2) AS a,
+    1 - ({n01('funnel_ratio', 1, 8)} * 0.2 + {n01('layer_depth', 0, 6)} * 0.2 + {n01('flow_velocity', 0, 0.3)} * 0.15
+         + CASE WHEN has_circular_flow THEN 0.15 ELSE 0 END + CASE WHEN is_funnel_hub THEN 0.15 ELSE 0 END
+         + {n01('rapid_passthrough_count', 0, 10)} * 0.15) AS nw
+  FROM {rel}
+),
+{p}bsi AS (
+  SELECT customer_id, round((e * 0.25 + t * 0.20 + c * 0.20 + a * 0.20 + nw * 0.15) * 100, 2) AS bsi_score,
+    round(e * 100, 2) AS entropy_stability, round(t * 100, 2) AS temporal_stability,
+    round(c * 100, 2) AS counterparty_stability, round(a * 100, 2) AS amount_stability,
+    round(nw * 100, 2) AS network_stability
+  FROM {p}d
+)"""
+
+
+def timeline_sql(src: str, w_days: int, s_days: int, sig_days: int) -> str:
+    W, S, F_ = w_days * DAY, s_days * DAY, 100000
+    per = -(-w_days // s_days)
+    js = " UNION ALL ".join(
+        f"SELECT t.*, sp.mn, sp.mx, floor((t.ts_us - sp.mn) / {S}) - {k} AS win_j FROM {src} t JOIN tl_sp sp USING (customer_id) WHERE sp.n >= 5"
+        for k in range(per))
+    return f"""
+tl_sp AS (SELECT customer_id, min(ts_us) AS mn, max(ts_us) AS mx, count(*) AS n FROM {src} GROUP BY 1),
+tl_x0 AS ({js}),
+tl_x AS (SELECT * FROM tl_x0 WHERE win_j >= 0 AND ts_us >= mn + win_j * {S} AND ts_us < mn + win_j * {S} + {W}
+                                 AND mn + win_j * {S} + {W} <= mx + {DAY}),
+tl_c AS (SELECT customer_id, win_j, count(*) AS num_transactions, sum(amount) AS total_volume, any_value(mn) AS mn
+         FROM tl_x GROUP BY 1, 2 HAVING count(*) >= 3),
+tl_rows AS (SELECT x.* REPLACE (CAST(x.customer_id * {F_} + x.win_j AS BIGINT) AS customer_id), x.customer_id AS owner
+            FROM tl_x x JOIN tl_c USING (customer_id, win_j)),
+tl_ids AS (SELECT DISTINCT customer_id FROM tl_rows),
+{all_signals_cte('tl_rows', sig_days, 'ts_')},
+{velocity_cte('tl_rows', 'tl_ids', 'tv_')},
+tl_star AS (
+  SELECT customer_id,
+    count(DISTINCT CASE WHEN counterparty IS NOT NULL AND counterparty NOT IN ('', 'None', 'nan') THEN counterparty END) AS out_degree,
+    coalesce(bool_or(counterparty IS NOT NULL AND counterparty NOT IN ('', 'None', 'nan')
+                     AND counterparty = CAST(owner AS VARCHAR)), false) AS has_circular_flow
+  FROM tl_rows GROUP BY 1),
+tl_net AS (
+  SELECT s.customer_id, s.has_circular_flow, CASE WHEN s.out_degree > 0 THEN 1 ELSE 0 END AS layer_depth,
+    CAST(s.out_degree AS DOUBLE) AS funnel_ratio, s.out_degree >= 4 AS is_funnel_hub, v.flow_velocity, v.rapid_passthrough_count
+  FROM tl_star s JOIN tv_vel v USING (customer_id)),
+tl_m AS (SELECT * FROM ts_out JOIN tl_net USING (customer_id)),
+{bsi_sql('tl_m', 'tb_')},
+timeline AS (
+  SELECT c.customer_id, CAST(c.win_j AS BIGINT) AS window_index,
+    CAST(c.mn + c.win_j * {S} AS BIGINT) AS window_start_us, CAST(c.mn + c.win_j * {S} + {W} AS BIGINT) AS window_end_us,
+    CAST(c.mn + c.win_j * {S} + {(w_days // 2) * DAY} AS BIGINT) AS window_midpoint_us,
+    CAST(c.num_transactions AS BIGINT) AS num_transactions, c.total_volume, b.bsi_score,
+    CASE WHEN b.bsi_score <= 25 THEN 'critical' WHEN b.bsi_score <= 50 THEN 'high'
+         WHEN b.bsi_score <= 75 THEN 'moderate' ELSE 'stable' END AS drift_level,
+    b.entropy_stability, b.temporal_stability, b.counterparty_stability, b.amount_stability, b.network_stability
+  FROM tl_c c JOIN tb_bsi b ON b.customer_id = c.customer_id * {F_} + c.win_j)"""
+
+
+ORACLES["i05_bsi_timeline"] = with_views("," + timeline_sql("tx_events", 6, 3, 3) + """
+SELECT customer_id, window_index, window_start_us, window_end_us, window_midpoint_us, num_transactions,
+  round(total_volume, 6) AS total_volume, round(bsi_score, 6) AS bsi_score, drift_level,
+  round(entropy_stability, 6) AS entropy_stability, round(temporal_stability, 6) AS temporal_stability,
+  round(counterparty_stability, 6) AS counterparty_stability, round(amount_stability, 6) AS amount_stability,
+  round(network_stability, 6) AS network_stability
+FROM timeline
+""")
+ORACLES["m02_sudden_drop"] = with_views("," + timeline_sql("tx_events", 6, 3, 3) + """,
+lg AS (SELECT customer_id, window_start_us, bsi_score,
+              lag(bsi_score) OVER (PARTITION BY customer_id ORDER BY window_start_us) AS previous_bsi FROM timeline),
+lv2 AS (SELECT *, coalesce(previous_bsi - bsi_score > 20, false) AS sudden FROM lg),
+lv3 AS (SELECT *, CASE WHEN bsi_score <= 25 OR sudden THEN 'immediate' WHEN bsi_score <= 50 THEN 'intensive'
+                       WHEN bsi_score <= 75 THEN 'enhanced' ELSE 'standard' END AS monitoring_level FROM lv2)
+SELECT customer_id, window_start_us, round(bsi_score, 6) AS bsi_score, round(previous_bsi, 6) AS previous_bsi,
+  monitoring_level,
+  CAST(CASE monitoring_level WHEN 'standard' THEN 30 WHEN 'enhanced' THEN 7 WHEN 'intensive' THEN 1 ELSE 0 END AS BIGINT) AS check_interval_days,
+  CASE monitoring_level WHEN 'standard' THEN CAST(0.7 AS DOUBLE) WHEN 'enhanced' THEN CAST(0.5 AS DOUBLE)
+       WHEN 'intensive' THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.1 AS DOUBLE) END AS anomaly_threshold,
+  CASE monitoring_level WHEN 'standard' THEN 'Behavioral consistency maintained. Low risk.'
+       WHEN 'enhanced' THEN 'Review transaction context and patterns.'
+       WHEN 'intensive' THEN 'Enhanced monitoring required. Lower anomaly thresholds.'
+       ELSE 'Immediate investigation warranted. SAR review initiated.' END AS recommended_action,
+  sudden AS sudden_drop_detected, monitoring_level IN ('immediate', 'intensive') OR sudden AS escalation_triggered
+FROM lv3
+""")
