@@ -66,3 +66,12 @@ def entropy_agg(count_col: str = "n") -> Column:
 
 def r6(c) -> Column:
     return F.round(col(c).cast("double"), 6)
+
+
+def attach_scalars(df, one_row, cols: list[str] | None = None):
+    """Add the columns of a one-row aggregate frame to every row of ``df`` as
+    a scalar subquery (evaluated once, inlined as a value; Spark raises an
+    error if the frame ever holds more than one row)."""
+    cols = cols or one_row.columns
+    sc = one_row.select(F.struct(*cols).alias("_sc")).scalar()
+    return df.withColumn("_sc1", sc).select("*", *[F.col(f"_sc1.{c}").alias(c) for c in cols]).drop("_sc1")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwatch.functions.exprs import attach_scalars
+
 from driftwatch.functions import dims
 from driftwatch.functions.cumulative import global_running_sum
 
@@ -125,7 +127,7 @@ def roc_frame(df: DataFrame, score: F.Column) -> DataFrame:
     c = _score_counts(df, score)
     tot = c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     r = global_running_sum(c, [F.col("s").desc()], ["pos", "neg"])
-    return r.crossJoin(F.broadcast(tot))
+    return attach_scalars(r, tot)
 
 
 def auc_roc(df: DataFrame, score: F.Column) -> DataFrame:

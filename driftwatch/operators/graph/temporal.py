@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwatch.functions.exprs import attach_scalars
+
 from driftwatch.functions import dims
 from driftwatch.functions.exprs import US_PER_DAY
 from driftwatch.operators.graph.edges import valid_edge_rows
@@ -25,7 +27,7 @@ def temporal_snapshots(txns: DataFrame, window_days: int = dims.GRAPH_TEMPORAL_W
     w_us = window_days * US_PER_DAY
     v = valid_edge_rows(txns).select("src", "dst", "ts_us")
     mx = v.agg(F.max("ts_us").alias("_mx"))  # one row
-    d = v.crossJoin(F.broadcast(mx))
+    d = attach_scalars(v, mx)
     i = (F.ceil((F.col("_mx") - F.col("ts_us")) / F.lit(w_us)) - 1).cast("int")
     e = (d.filter(F.col("ts_us") < F.col("_mx"))
          .select("src", "dst", (F.lit(periods - 1) - i).alias("period"))

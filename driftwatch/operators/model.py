@@ -14,6 +14,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from driftwatch.functions.exprs import attach_scalars
 from pyspark.sql import types as T
 
 from driftwatch.functions import dims
@@ -98,7 +100,7 @@ def counterfactuals(model: PipelineModel, matrix: DataFrame, cols: list[str],
     feats = sorted({f for _, fs in dims_av for f in fs})
     med = population_medians(matrix, feats).select(*[F.col(f).alias(f"_med_{f}") for f in feats])
     scen = F.explode(F.array(*[F.lit(i) for i in range(-1, len(dims_av))])).alias("_scen")
-    x = matrix.crossJoin(F.broadcast(med)).select("*", scen)
+    x = attach_scalars(matrix, med).select("*", scen)
     for f in feats:
         ids = [i for i, (_, fs) in enumerate(dims_av) if f in fs]
         x = x.withColumn(f, F.when(F.col("_scen").isin(*ids), F.col(f"_med_{f}").cast(matrix.schema[f].dataType))

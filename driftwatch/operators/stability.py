@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwatch.functions.exprs import attach_scalars
+
 from driftwatch.functions import dims
 from driftwatch.functions.exprs import normalize
 
@@ -79,7 +81,7 @@ def bsi_rescale(bsi: DataFrame) -> DataFrame:
     decimals in [0, 100], so that map is bounded by 10,001 entries whatever
     the population size.  The one-row result is broadcast (size 1)."""
     q = bsi.agg(F.percentile("bsi_score", 0.05).alias("_p5"), F.percentile("bsi_score", 0.95).alias("_p95"))
-    j = bsi.crossJoin(F.broadcast(q))
+    j = attach_scalars(bsi, q)
     spread = F.col("_p95") > F.col("_p5")
     resc = dround(F.greatest(F.lit(2.0), F.least(F.lit(98.0),
                   (F.col("bsi_score") - F.col("_p5")) / (F.col("_p95") - F.col("_p5")) * 90 + 5)), 2)

@@ -11,6 +11,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from driftwatch.functions.exprs import attach_scalars
+
 from driftwatch.operators import alerts as A
 from driftwatch.plans.common import prep, rounded
 from driftwatch.plans.oracle_views import with_views
@@ -28,7 +30,7 @@ def _events_raw(spark, sf):
     e = TB.read_table(spark, sf, "events")
     mn = e.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("_mn"))
     m = F.create_map(*[x for k, v in EVENT_TYPE.items() for x in (F.lit(k), F.lit(v))])
-    return e.crossJoin(F.broadcast(mn)).select(
+    return attach_scalars(e, mn).select(
         F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.col("_mn")) / 3_600_000_000).cast("long").alias("step"),
         F.element_at(m, F.col("event_type")).alias("type"),
         F.round(F.col("value") * 100, 2).alias("amount"),
@@ -47,7 +49,7 @@ def q_s02_load_account_edges(spark, sf):
     prep(spark)
     t = TB.account_txns(spark, sf, V(spark, sf, "tx_orders"))
     mn = t.agg(F.min("ts_us").alias("_mn"))
-    raw = t.crossJoin(F.broadcast(mn)).select(
+    raw = attach_scalars(t, mn).select(
         F.col("customer_id").alias("sourceNodeId"), F.col("counterparty").cast("long").alias("targetNodeId"),
         F.col("amount").alias("value"), F.floor((F.col("ts_us") - F.col("_mn")) / (3 * US_DAY)).cast("int").alias("time"))
     nodes = V(spark, sf, "customers_v").select(F.col("customer_id").alias("nodeid"),

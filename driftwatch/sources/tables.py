@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwatch.functions.exprs import attach_scalars
+
 from driftwatch.functions import dims
 from driftwatch.functions.exprs import (US_PER_DAY, hash_int, lookup, pick,
                                         ts_micros)
@@ -171,7 +173,7 @@ def account_txns(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None)
     joined in (a scalar, not a driver round trip)."""
     tx = (tx if tx is not None else tx_orders(spark, sf_dir)).filter(F.col("src_quantity") >= 49)
     n = read_table(spark, sf_dir, "customer").agg(F.count("*").alias("_ncust"))
-    return (tx.crossJoin(F.broadcast(n))
+    return (attach_scalars(tx, n)
             .withColumn("counterparty", (F.col("src_partkey") % F.col("_ncust")).cast("string"))
             .drop("_ncust"))
 
