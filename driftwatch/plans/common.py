@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwatch.session import ensure_utc
+from driftwatch.session import ensure_utc, ship_package
 
 
 def tier_round(c) -> F.Column:
@@ -36,3 +36,4 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def prep(spark: SparkSession) -> None:
     ensure_utc(spark)
+    ship_package(spark)
