@@ -457,3 +457,38 @@ def q_g18_all_graph_signals(spark, sf):
 
 
 QUERIES["g18_all_graph_signals"] = q_g18_all_graph_signals
+
+
+def cycles_cte(p: str, max_len: int = 8, max_cycles: int = 20) -> str:
+    """needs {p}edges; every simple cycle of length ≤ max_len rooted at its
+    least node (recursive CTE); ends in {p}circ."""
+    return f"""
+{p}ce AS (SELECT src, dst, weight FROM {p}edges),
+{p}paths AS (
+  WITH RECURSIVE pp(root, path, last, w) AS (
+    SELECT src, [src, dst], dst, weight FROM {p}ce WHERE dst > src
+    UNION ALL
+    SELECT pp.root, list_append(pp.path, e.dst), e.dst, pp.w + e.weight
+    FROM pp JOIN {p}ce e ON e.src = pp.last
+    WHERE e.dst > pp.root AND NOT list_contains(pp.path, e.dst) AND len(pp.path) < {max_len}
+  ) SELECT * FROM pp),
+{p}cyc AS (
+  SELECT [src] AS path, weight AS w FROM {p}ce WHERE src = dst
+  UNION ALL
+  SELECT pa.path, pa.w + e.weight FROM {p}paths pa JOIN {p}ce e ON e.src = pa.last AND e.dst = pa.root
+),
+{p}mem AS (SELECT unnest(path) AS id, len(path) AS ln, array_to_string(path, '>') AS k, w FROM {p}cyc),
+{p}top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ln, k) AS r FROM {p}mem),
+{p}cper AS (SELECT id, count(*) AS num_cycles, max(ln) AS mx, sum(w) AS tot FROM {p}top WHERE r <= {max_cycles} GROUP BY 1),
+{p}circ AS (
+  SELECT c.customer_id, (cp.num_cycles IS NOT NULL) AS has_circular_flow,
+         CAST(coalesce(cp.num_cycles, 0) AS BIGINT) AS num_cycles,
+         CAST(coalesce(cp.mx, 0) AS BIGINT) AS max_cycle_length,
+         coalesce(cp.tot, 0.0) AS cycle_total_amount
+  FROM customers_v c LEFT JOIN {p}cper cp ON CAST(c.customer_id AS VARCHAR) = cp.id
+)"""
+
+
+ORACLES["g04_circular_flows"] = with_views("," + edges_cte("account_txns", "g_") + "," + cycles_cte("g_") + """
+SELECT customer_id, has_circular_flow, num_cycles, max_cycle_length, round(cycle_total_amount, 6) AS cycle_total_amount FROM g_circ
+""")
