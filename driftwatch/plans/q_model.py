@@ -37,7 +37,8 @@ def bsi_raw(spark, sf):
 
 # stage outputs (S10) for the downstream evaluation / dashboard queries
 def behavioural_stage(spark, sf):
-    return stage(spark, sf, "behavioural", lambda: behavioural(spark, sf))
+    from driftwatch.plans.q_signals import behavioural_stage as _b
+    return _b(spark, sf)
 
 
 def network_stage(spark, sf):
@@ -70,7 +71,7 @@ def q_f05_model_matrix(spark, sf):
 
 def q_g18_network_signals(spark, sf):
     prep(spark)
-    return rounded(network(spark, sf))
+    return rounded(network_stage(spark, sf))
 
 
 def q_i02_bsi_raw(spark, sf):

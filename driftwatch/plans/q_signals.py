@@ -63,10 +63,16 @@ def q_b13_amount_anomaly(spark, sf):
     return rounded(S.amount_anomaly(V(spark, sf, "tx_orders")))
 
 
+def behavioural_stage(spark, sf):
+    """B14 stage output (S10): computed once per application, reused downstream."""
+    from driftwatch.plans.stages import stage
+    return stage(spark, sf, "behavioural", lambda: S.all_signals(
+        V(spark, sf, "tx_orders"), V(spark, sf, "customers_v"), window_days=ORDERS_WINDOW_DAYS))
+
+
 def q_b14_all_signals(spark, sf):
     prep(spark)
-    return rounded(S.all_signals(V(spark, sf, "tx_orders"), V(spark, sf, "customers_v"),
-                                 window_days=ORDERS_WINDOW_DAYS))
+    return rounded(behavioural_stage(spark, sf))
 
 
 QUERIES = {
