@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_ROWS = 20_000
+CELL_ROWS = 5_000
 #: 2^31, the number of steps of the shuffle key that selects a cell.
 STEPS = 1 << 31
 
@@ -49,6 +49,8 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str =
     phase = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_src"), 33) / F.lit(STEPS)
     cells_of = F.ceil(F.col("_n") / cell_rows).cast("long")
     rows = rows.join(sources, "_src").withColumn("_cell", F.shiftright(F.col("_u") * cells_of, 31))
+    # dealt anew: the join above may leave the rows dealt by source alone
+    rows = rows.repartition("_src", "_cell")
     counts = _offsets(rows.groupBy("_src", "_cell").agg(F.count(F.lit(1)).alias("_c")), ["_src"], "_cell")
     within = Window.partitionBy("_src", "_cell").orderBy("_u", "_h", "_id", "size", "text_crc32")
     ranked = (rows.withColumn("_r", F.row_number().over(within)).join(counts, ["_src", "_cell"])
