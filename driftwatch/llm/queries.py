@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import decontaminate, packing, quality_rules, records, shard_interleave, url_filter
+from driftwatch.llm import decontaminate, fm_dedup, packing, quality_rules, records, shard_interleave, suffix_dedup, url_filter
 from driftwatch.llm.common import table
 
 #: Vocabulary files and the end mark of the contracts.
@@ -17,6 +17,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -29,6 +35,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fm_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = table(spark, sf_dir, "documents"), records.new_folder(spark)
     manifest = records.write(docs, folder, vocabulary("word_bpe_49k.json"), END_ID, blanks="drop", lower=True)
@@ -44,9 +55,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1,
     "op2_url_ratio": op2,
     "op4_quality_votes": op4,
     "op6_decontaminate": op6,
+    "op7_fm_dedup": op7,
     "op8_records": op8,
     "op9_interleave": op9,
     "op10_pack": op10,

@@ -29,6 +29,8 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 START, END = "\u0002", "\u0003"
 SALTS = 16
+#: Probability of any character below order 0.
+UNIFORM = 1 / 256
 #: Scores are counted in steps of 1/200 between -20 and 20 to find the threshold.
 STEP, EDGE = 200, 4000
 
@@ -61,11 +63,7 @@ def _grams(rows: DataFrame, order: int) -> DataFrame:
 
 def _differences(train: DataFrame, wanted: DataFrame, order: int) -> DataFrame:
     """(_g, _d): log P(allow) - log P(block) of each wanted gram."""
-    alphabet = F.broadcast(train.agg((F.count_distinct(F.substring("_g", order + 1, 1)) + 1).alias("_v")))
-    alphabet = alphabet.withColumn("_one", F.lit(1))
-    out = wanted.withColumn("_one", F.lit(1)).join(alphabet, "_one", "left").drop("_one")
-    for m in ("a", "b"):
-        out = out.withColumn("_p" + m, 1 / F.greatest(F.coalesce("_v", F.lit(1)), F.lit(1)))
+    out = wanted.withColumns({"_pa": F.lit(UNIFORM), "_pb": F.lit(UNIFORM)})
     for k in range(order + 1):
         short = F.substring("_g", order + 1 - k, k + 1)
         hits = train.groupBy(short.alias("_k")).agg(F.sum("_na").alias("_ha"), F.sum("_nb").alias("_hb"))
