@@ -135,7 +135,8 @@ def _number(data, start, size):
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """Rows ``(doc_id, n_words, n_removed, spans, kept)``, one per row of ``docs``: the words of
+    """Rows ``(doc_id, h, n_words, n_removed, spans, kept)``, one per row of ``docs``
+    (``h`` is Spark's ``xxhash64`` of the text): the words of
     the text (runs of non-blank characters) without those covered by 13 words in a row that
     also start in a document with a smaller id; ``spans`` are the maximal removed runs (in
     words), ``kept`` the other words' UTF-8 bytes, joined by one space.
@@ -146,4 +147,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kind = Kind(words=True, window=WINDOW, gram=GRAM)
     out = remove_repeats(docs, kind, smallest_ids, id_col, text_col, block_bytes, hot)
-    return out.select(F.col("doc_id").alias(id_col), F.col("n_units").alias("n_words"), "n_removed", "spans", "kept")
+    return out.select(F.col("doc_id").alias(id_col), "h", F.col("n_units").alias("n_words"), "n_removed", "spans", "kept")

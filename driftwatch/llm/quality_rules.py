@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.common import BLANK, bind, words
+from driftwatch.llm.common import bind, row_key, words
 from driftwatch.session import cut_lineage
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -53,13 +53,13 @@ def _repeat_words(hashes: Column) -> Column:
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: the contract's counts and those that only the rules use."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("_id"), t.alias("_t")).withColumn("_w", words(F.col("_t")))
+    df = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("_key"), t.alias("_t")).withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_l", lines).withColumn("_h", _window_hashes(F.col("_w")))
     n = lambda pattern: F.regexp_count("_t", F.lit(pattern)).cast("long")
     repeats = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _repeat_words(F.col("_h"))).otherwise(F.lit(0).cast("long"))
     return df.select(
-        "_id",
+        "_id", "_key",
         F.size("_w").cast("long").alias("n_words"),
         F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         n(SYMBOLS).alias("n_symbols"),
@@ -150,7 +150,7 @@ def _posterior(x, base: float, adds) -> float:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """Rows ``(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, quality)``, one per row of ``docs``.
+    base_failed, kept, quality, _key)``, one per row of ``docs`` (``_key`` as ``common.row_key``).
 
     An abstaining rule leaves the odds alone. A null or empty text has no words
     and fails the base rule; a null id stays null; repeated rows give repeated
@@ -170,4 +170,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     return df.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"),
-        F.round(quality, 9).alias("quality"))
+        F.round(quality, 9).alias("quality"), "_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import decontaminate, fm_dedup, packing, quality_rules, records, shard_interleave, suffix_dedup, url_filter
+from driftwatch.llm import decontaminate, fm_dedup, ngram_join, packing, quality_rules, records, shard_interleave, site_quality, suffix_dedup, url_filter
 from driftwatch.llm.common import table
 
 #: Vocabulary files and the end mark of the contracts.
@@ -27,8 +27,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("_key")
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +65,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1,
     "op2_url_ratio": op2,
+    "op3_ngram_join": op3,
     "op4_quality_votes": op4,
+    "op5_site_quality": op5,
     "op6_decontaminate": op6,
     "op7_fm_dedup": op7,
     "op8_records": op8,
     "op9_interleave": op9,
     "op10_pack": op10,
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 ORACLES: dict[str, str] = {}

@@ -29,7 +29,7 @@ its tasks.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +41,23 @@ from driftwatch.llm.hashing import U64, gather, mix, slice_hashes, spread, word_
 
 BLOCK_BYTES = 8 << 20
 #: An anchor is hot when blocks holding it, counted 64 times where several documents of the block have it, exceed this.
-HOT = 4096
+HOT = 1 << 16
 #: A null id stands behind all others.
 LAST = (1 << 63) - 1
 CHUNK = 1 << 16
 #: Fragments to one index, about; a bucket's fragments are split by their anchors (into 256 parts at most).
 PART = 4000
+#: An anchor's hash has so many bits more than the number of anchors takes; a chance meeting only costs a fragment.
+SPARE_BITS = 14
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What a unit is, and the sizes of windows and anchors."""
+    """What a unit is, the sizes of windows and anchors, and the bits of an anchor's hash."""
     words: bool
     window: int
     gram: int
+    bits: int = 56
 
 
 class Block:
@@ -63,7 +66,7 @@ class Block:
     def __init__(self, table: pa.Table, kind: Kind):
         table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("h", "ascending")]))
         self.kind = kind
-        self.doc_id = table.column("doc_id").to_numpy()
+        self.doc_id, self.h = table.column("doc_id").to_numpy(), table.column("h").to_numpy()
         text = table.column("text").combine_chunks()
         text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
         wide = pa.types.is_large_binary(text.type)
@@ -131,7 +134,7 @@ class Block:
         # a run ends where the next begins, or at the end of its document's windows
         doc = np.searchsorted(self.first, at, "right") - 1
         stop = np.minimum(np.append(at[1:], len(anchor)), self.first[doc + 1] - w + 1)
-        return at, stop - at, self._gram(anchor[at].astype(np.int64)) >> U64(1), doc
+        return at, stop - at, self._gram(anchor[at].astype(np.int64)) >> U64(64 - self.kind.bits), doc
 
     def bytes_of(self, start: np.ndarray, units: np.ndarray):
         """(byte offset, byte length) of runs of units in ``data``."""
@@ -157,7 +160,7 @@ class Block:
         key = np.concatenate([key[cold], np.zeros(len(single), U64)])
         where, size = self.bytes_of(start, windows + (self.kind.window - 1))
         content = slice_hashes(self.data, where, size)
-        key[len(key) - len(single):] = content[len(key) - len(single):] >> U64(1)
+        key[len(key) - len(single):] = content[len(key) - len(single):] >> U64(64 - self.kind.bits)
         order = np.lexsort((start, content, key))
         new = np.ones(len(order), bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
@@ -187,8 +190,21 @@ FRAGMENTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("number",
 REPLIES = pa.schema([("block", pa.int32()), ("number", pa.binary()), ("begin", pa.binary()), ("length", pa.binary()), ("least", pa.binary())])
 
 
+def _pack(a: np.ndarray) -> bytes:
+    """An array for a shuffle: its bytes by significance, compressed."""
+    flat = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(flat).to_bytes(8, "little") + pa.compress(flat, codec="zstd", asbytes=True)
+
+
+def _unpack(b: bytes, dtype) -> np.ndarray:
+    flat = pa.decompress(memoryview(b)[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
 def _join(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column if x.is_valid), dtype)
+    parts = [_unpack(x.as_py(), dtype) for x in column if x.is_valid]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
 def _send_keys(kind: Kind, buckets: int):
@@ -206,14 +222,14 @@ def _send_keys(kind: Kind, buckets: int):
         marked = (different << U64(1)) | several.astype(U64)
         parts = _split(different, buckets)
         return _table({"bucket": [b for b, _ in parts], "block": [key[0].as_py()] * len(parts),
-                       "keys": [marked[i].tobytes() for _, i in parts]}, KEYS)
+                       "keys": [_pack(marked[i]) for _, i in parts]}, KEYS)
     return send
 
 
 def _find_shared(hot: int):
     def find(key, table):
         blocks = table.column("block").to_pylist()
-        arrays = [np.frombuffer(x.as_py(), U64) for x in table.column("keys")]
+        arrays = [_unpack(x.as_py(), "<u8") for x in table.column("keys")]
         every = np.sort(np.concatenate(arrays))
         plain = every >> U64(1)
         firsts = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
@@ -227,7 +243,7 @@ def _find_shared(hot: int):
             mine = shared[place] >> U64(1) == keys >> U64(1) if len(shared) else np.zeros(len(keys), bool)
             if mine.any():
                 out_block.append(block)
-                out_keys.append(shared[place[mine]].tobytes())
+                out_keys.append(_pack(shared[place[mine]]))
         return _table({"block": out_block, "keys": out_keys}, pa.schema([KEYS.field("block"), KEYS.field("keys")]))
     return find
 
@@ -240,8 +256,8 @@ def _send_fragments(kind: Kind, buckets: int):
         _, _, _, _, (where, size, windows, least, bucket_key) = block.fragments(np.sort(_join(shared.column("keys"), U64)))
         out = {f: [] for f in FRAGMENTS.names}
         for bucket, i in _split(bucket_key, buckets):
-            row = (bucket, key[0].as_py(), i.astype("<i4").tobytes(), size[i].astype("<i4").tobytes(),
-                   (bucket_key[i] >> U64(48)).astype(np.uint8).tobytes(), windows[i].astype("<i2").tobytes(), least[i].astype("<i8").tobytes(), gather(block.data, where[i], size[i]).tobytes())
+            row = (bucket, key[0].as_py(), _pack(i.astype("<i4")), _pack(size[i].astype("<i4")), _pack((bucket_key[i] >> U64(kind.bits - 8)).astype(np.uint8)),
+                   _pack(windows[i].astype("<i2")), _pack(least[i].astype("<i8")), _pack(gather(block.data, where[i], size[i])))
             for f, x in zip(FRAGMENTS.names, row):
                 out[f].append(x)
         return _table(out, FRAGMENTS)
@@ -250,7 +266,7 @@ def _send_fragments(kind: Kind, buckets: int):
 
 def _answer(kind: Kind, index: Callable):
     def answer(key, table):
-        column = lambda name, dtype: [np.frombuffer(x.as_py(), dtype) for x in table.column(name)]
+        column = lambda name, dtype: [_unpack(x.as_py(), dtype) for x in table.column(name)]
         number, size, windows, least = column("number", "<i4"), column("size", "<i4"), column("windows", "<i2"), column("least", "<i8")
         data = np.concatenate(column("data", np.uint8))
         block = np.repeat(np.arange(len(number)), [len(x) for x in number])
@@ -293,14 +309,14 @@ def _answer(kind: Kind, index: Callable):
         out = {f: [] for f in REPLIES.names}
         for row, name in enumerate(table.column("block").to_pylist()):
             p, n = pick[cuts[row]:cuts[row + 1]], nums[cuts[row]:cuts[row + 1]]
-            for f, x in zip(REPLIES.names, (name, n.astype("<i4").tobytes(), run_begin[p].astype("<i2").tobytes(),
-                                            run_len[p].astype("<i2").tobytes(), run_id[p].astype("<i8").tobytes())):
+            for f, x in zip(REPLIES.names, (name, _pack(n.astype("<i4")), _pack(run_begin[p].astype("<i2")),
+                                            _pack(run_len[p].astype("<i2")), _pack(run_id[p].astype("<i8")))):
                 out[f].append(x)
         return _table(out, REPLIES)
     return answer
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()),
+RESULT = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()),
                     ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
@@ -348,14 +364,15 @@ def _apply(kind: Kind):
         spans = pa.ListArray.from_arrays(pa.array(span_doc, pa.int32()), pa.StructArray.from_arrays(
             [pa.array(b - first[local]), pa.array(e - first[local])], ["begin", "end"]))
         ids = pa.array(block.doc_id, mask=block.doc_id == LAST)
-        return pa.Table.from_arrays([ids, pa.array(np.diff(first)), pa.array(removed[first[1:]] - removed[first[:-1]]),
+        return pa.Table.from_arrays([ids, pa.array(block.h), pa.array(np.diff(first)), pa.array(removed[first[1:]] - removed[first[:-1]]),
                                      spans, pa.array(texts, pa.binary())], schema=RESULT)
     return apply
 
 
 def remove_repeats(docs: DataFrame, kind: Kind, index: Callable, id_col: str, text_col: str,
                    block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
-    """Rows ``(doc_id, n_units, n_removed, spans, kept)``, one per row of ``docs``.
+    """Rows ``(doc_id, h, n_units, n_removed, spans, kept)``, one per row of ``docs``; ``h`` is
+    Spark's ``xxhash64`` of the text (a null counts as empty).
 
     ``index(data, start, size, windows, ids)`` gets fragments as byte slices with
     their numbers of windows and document ids, and returns for every window
@@ -363,6 +380,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, index: Callable, id_col: str, te
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0  # one number
     blocks = int(total // block_bytes) + 1
+    kind = replace(kind, bits=min(62, max(40, int(total).bit_length() + SPARE_BITS - 4)))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"),
                        F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id",
@@ -375,4 +393,4 @@ def remove_repeats(docs: DataFrame, kind: Kind, index: Callable, id_col: str, te
         _answer(kind, index), "block int, number binary, begin binary, length binary, least binary")
     told = shared.unionByName(replies, allowMissingColumns=True)
     return rows.cogroup(told.groupBy("block")).applyInArrow(
-        _apply(kind), "doc_id long, n_units long, n_removed long, spans array<struct<begin: long, end: long>>, kept binary")
+        _apply(kind), "doc_id long, h long, n_units long, n_removed long, spans array<struct<begin: long, end: long>>, kept binary")

@@ -72,7 +72,7 @@ def collection_order(data: np.ndarray, start: np.ndarray, size: np.ndarray, cap:
         # symbol before the suffix (UTF-8 has no byte 255; 0 is the end mark) and common prefix; string and length
         transform, owners = _Store(folder, "transform"), _Store(folder, "owners")
         transform.write((data[start + size - 1].astype(np.uint16) + 1) << 8)
-        owners.write(np.arange(m, dtype=np.int64) << 8)
+        owners.write(np.arange(m, dtype=np.int64 if m >> 23 else np.int32) << 8)
         fresh = np.ones(m, bool)  # places filled in the last round
         for j in range(1, int(size.max(initial=0)) + 1):
             have, strings = transform.read(), owners.read()
@@ -94,11 +94,11 @@ def collection_order(data: np.ndarray, start: np.ndarray, size: np.ndarray, cap:
             place = m + touched
             out[place] = (out[place] & 0xFF00) | _prefixes(common, order, extended, touched, cap)
             transform.write(out)
-            out = np.empty(len(fresh), np.int64)
+            out = np.empty(len(fresh), strings.dtype)
             out[old], out[fresh] = strings, (who << 8) | j
             owners.write(out)
         strings = owners.read()
-        return strings >> 8, (strings & 255).astype(np.int64), transform.read() & 0xFF
+        return (strings >> 8).astype(np.int64), (strings & 255).astype(np.int64), transform.read() & 0xFF
 
 
 def smallest_ids(data, start, size, windows, ids) -> np.ndarray:
