@@ -9,8 +9,8 @@ counting. For the others:
 
 1. Prefixes are exploded and joined on the shingle. A shingle's documents are
    split by set size into groups that the length filter lets meet.
-2. Each group's members first meet one member, its hub: as many pairs as rows,
-   however large a group of copies is.
+2. Each group's members first meet one member, its hub (the one with the fewest
+   shingles of its own): as many pairs as rows, however large a group of copies is.
 3. Pairs pass the length filter, the positional filter and the suffix filter (the
    rest of both sets, cut into 32 ranges of the hash, bounds their distance from
    below) and each pair is verified once by the size of the intersection.
@@ -204,10 +204,11 @@ def _links(sets: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     head = F.slice("shared", 1, F.greatest(kept.cast("int") - F.col("alone"), F.lit(1)))
     rows = sets.select("k", "n", "alone", band.alias("band"), F.posexplode(head).alias("i", "token"))
     # sizes of one band, or of two neighbouring bands, meet in one group
-    rows = rows.select("k", "n", (F.col("alone") + F.col("i")).alias("i"), "token",
+    rows = rows.select("k", "n", "alone", (F.col("alone") + F.col("i")).alias("i"), "token",
                        F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    rows = stored(rows.select(F.xxhash64("token", "band").alias("g"), "k", "n", "i"))
-    hub = rows.groupBy("g").agg(F.min(F.struct("k", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    rows = stored(rows.select(F.xxhash64("token", "band").alias("g"), "k", "n", "alone", "i"))
+    # of many near copies, the one with the fewest shingles of its own is nearest to the others
+    hub = rows.groupBy("g").agg(F.min(F.struct("alone", "k", "n")).alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
     near = rows.join(hub, "g").where((F.col("k") != F.col("hub.k")) & _length_fits(F.col("n"), F.col("hub.n")))
     pairs = near.select(F.least("k", "hub.k").alias("x"), F.greatest("k", "hub.k").alias("y")).distinct()
     pairs = cut_lineage(pairs)
