@@ -8,8 +8,9 @@ id. Five steps, all of them shuffles of compact arrays:
 1. Documents are dealt by id to blocks of some ``BLOCK_BYTES`` of text. Each
    window's anchor is the k-gram in it with the least hash (equal windows have
    equal anchors); a block sends its different anchor hashes to buckets.
-2. A bucket finds the hashes that stand in two documents or more and tells the
-   blocks which of theirs they are. Most text ends here.
+2. A bucket finds the hashes that stand in two places or more, with what stands
+   before or after them agreeing in eight bits, and tells the blocks which of theirs
+   they are. Most text ends here.
 3. Windows with the same anchor lie side by side; a block cuts them out as one
    fragment, keeps each different fragment once with its smallest document id,
    and sends it to the bucket of its anchor. Windows with equal units are always
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from driftwatch.llm.hashing import U64, gather, mix, slice_hashes, spread, word_table
 
 BLOCK_BYTES = 8 << 20
-#: An anchor is hot when blocks holding it, counted 64 times where several documents of the block have it, exceed this.
+#: An anchor is hot when the blocks that hold it, counted 64 times where it stands more than once, exceed this.
 HOT = 1 << 16
 #: A null id stands behind all others.
 LAST = (1 << 63) - 1
@@ -87,20 +88,34 @@ class Block:
     def n_units(self) -> int:
         return int(self.first[-1])
 
-    def _gram(self, at) -> np.ndarray:
-        """Hashes of the k-grams at a slice or an array of places."""
-        u, k = self.unit, self.kind.gram
-        move = (lambda i: slice(at.start + i, at.stop + i)) if isinstance(at, slice) else (lambda i: at + i)
-        if not self.kind.words:  # two overlapping 8-byte pieces
+    def _hash(self, at, n: int) -> np.ndarray:
+        """Hashes of the n units (9 to 16 bytes, or words) at a slice or an array of places."""
+        u = self.unit
+        move = (lambda i: slice(at.start + i, at.stop + i)) if isinstance(at, slice) else (
+            lambda i: np.clip(at + i, 0, len(u) - 1))
+        if not self.kind.words:  # overlapping 8-byte pieces
             h = u[move(0)] * U64(0x9E3779B97F4A7C15)
-            h ^= h >> U64(32)
-            return mix(h + u[move(k - 8)])
+            for i in (*range(8, n - 8, 8), n - 8):
+                h ^= h >> U64(32)
+                h = (h + u[move(i)]) * U64(0xD6E8FEB86659FD93)
+            return mix(h)
         h = u[move(0)].copy()
-        for i in range(1, k):
+        for i in range(1, n):
             h *= U64(0xD1342543DE82EF95)
             h += u[move(i)]
         return mix(h)
 
+    def _gram(self, at) -> np.ndarray:
+        return self._hash(at, self.kind.gram)
+
+    def contexts(self, anchor: np.ndarray) -> np.ndarray:
+        """Eight bits for what stands before an anchor and eight for what follows. A window holds
+        half of its other units on one side at least, so two equal windows agree on one of them."""
+        half = -(-(self.kind.window - self.kind.gram) // 2)
+        before = self._hash(anchor - half, half) >> U64(56)
+        after = self._hash(anchor + self.kind.gram, half) >> U64(56)
+        return ((before << U64(8)) | after).astype("<u2")
+
     def runs(self):
         """(first window, number of windows, anchor hash) of each run of windows with one anchor."""
         w, k, n = self.kind.window, self.kind.gram, self.n_units()
@@ -134,7 +149,7 @@ class Block:
         # a run ends where the next begins, or at the end of its document's windows
         doc = np.searchsorted(self.first, at, "right") - 1
         stop = np.minimum(np.append(at[1:], len(anchor)), self.first[doc + 1] - w + 1)
-        return at, stop - at, self._gram(anchor[at].astype(np.int64)) >> U64(64 - self.kind.bits), doc
+        return at, stop - at, self._gram(anchor[at].astype(np.int64)) >> U64(64 - self.kind.bits), doc, anchor[at].astype(np.int64)
 
     def bytes_of(self, start: np.ndarray, units: np.ndarray):
         """(byte offset, byte length) of runs of units in ``data``."""
@@ -145,7 +160,7 @@ class Block:
     def fragments(self, shared: np.ndarray):
         """Occurrences of windows under shared anchors: (first window, windows, document,
         fragment number), and of each different fragment (occurrence, smallest id, bucket key)."""
-        at, count, key, doc = self.runs()
+        at, count, key, doc, _ = self.runs()
         place = np.searchsorted(shared, key << U64(1))
         place = np.minimum(place, max(len(shared) - 1, 0))
         found = (shared[place] >> U64(1) == key) if len(shared) else np.zeros(len(at), bool)
@@ -184,7 +199,7 @@ def _table(columns: dict, schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pydict(columns, schema)
 
 
-KEYS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary())])
+KEYS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("contexts", pa.binary())])
 FRAGMENTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("number", pa.binary()), ("size", pa.binary()),
                        ("part", pa.binary()), ("windows", pa.binary()), ("least", pa.binary()), ("data", pa.binary())])
 REPLIES = pa.schema([("block", pa.int32()), ("number", pa.binary()), ("begin", pa.binary()), ("length", pa.binary()), ("least", pa.binary())])
@@ -210,40 +225,43 @@ def _join(column: pa.ChunkedArray, dtype) -> np.ndarray:
 def _send_keys(kind: Kind, buckets: int):
     def send(key, table):
         block = Block(table, kind)
-        at, count, key_, doc = block.runs()
+        _, _, key_, _, anchor = block.runs()
         order = np.argsort(key_)
-        sorted_, ids = key_[order], block.doc_id[doc[order]]
+        sorted_ = key_[order]
         firsts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(order) else order
-        if len(firsts):
-            several = np.minimum.reduceat(ids, firsts) != np.maximum.reduceat(ids, firsts)
-        else:
-            several = np.zeros(0, bool)
         different = sorted_[firsts]
+        several = np.diff(np.append(firsts, len(order))) > 1
         marked = (different << U64(1)) | several.astype(U64)
+        contexts = block.contexts(anchor[order[firsts]])
         parts = _split(different, buckets)
         return _table({"bucket": [b for b, _ in parts], "block": [key[0].as_py()] * len(parts),
-                       "keys": [_pack(marked[i]) for _, i in parts]}, KEYS)
+                       "keys": [_pack(marked[i]) for _, i in parts], "contexts": [_pack(contexts[i]) for _, i in parts]}, KEYS)
     return send
 
 
+def _again(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Whether another member of the group has the same value."""
+    _, place, count = np.unique((group << 8) | value, return_inverse=True, return_counts=True)
+    return count[place] > 1
+
+
 def _find_shared(hot: int):
     def find(key, table):
-        blocks = table.column("block").to_pylist()
         arrays = [_unpack(x.as_py(), "<u8") for x in table.column("keys")]
-        every = np.sort(np.concatenate(arrays))
-        plain = every >> U64(1)
-        firsts = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
-        weight = np.add.reduceat(1 + 63 * (every & U64(1)).astype(np.int64), firsts)
-        wanted = weight > 1
-        shared = (plain[firsts][wanted] << U64(1)) | (weight[wanted] > hot).astype(U64)
-        out_block, out_keys = [], []
-        for block, keys in zip(blocks, arrays):
-            place = np.searchsorted(shared, keys & ~U64(1))
-            place = np.minimum(place, max(len(shared) - 1, 0))
-            mine = shared[place] >> U64(1) == keys >> U64(1) if len(shared) else np.zeros(len(keys), bool)
-            if mine.any():
+        every = np.concatenate(arrays)
+        context = np.concatenate([_unpack(x.as_py(), "<u2") for x in table.column("contexts")]).astype(np.int64)
+        _, group, count = np.unique(every >> U64(1), return_inverse=True, return_counts=True)
+        several = (every & U64(1)).astype(bool)
+        weight = count + 63 * np.bincount(group, several, len(count)).astype(np.int64)
+        # a block that has the anchor more than once may agree with any other, or within itself
+        wanted = weight[group] > np.maximum(count[group], 1)
+        wanted |= _again(group, context >> 8) | _again(group, context & 255)
+        reply = (every & ~U64(1)) | (weight[group] > hot).astype(U64)
+        out_block, out_keys, cuts = [], [], np.cumsum([len(a) for a in arrays])[:-1]
+        for block, keys, use in zip(table.column("block").to_pylist(), np.split(reply, cuts), np.split(wanted, cuts)):
+            if use.any():
                 out_block.append(block)
-                out_keys.append(_pack(shared[place[mine]]))
+                out_keys.append(_pack(keys[use]))
         return _table({"block": out_block, "keys": out_keys}, pa.schema([KEYS.field("block"), KEYS.field("keys")]))
     return find
 
@@ -385,7 +403,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, index: Callable, id_col: str, te
                        F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id",
                        F.xxhash64("text").alias("h"), "text").groupBy("block")
-    keys = rows.applyInArrow(_send_keys(kind, blocks), "bucket int, block int, keys binary")
+    keys = rows.applyInArrow(_send_keys(kind, blocks), "bucket int, block int, keys binary, contexts binary")
     shared = keys.groupBy("bucket").applyInArrow(_find_shared(hot), "block int, keys binary")
     asked = rows.cogroup(shared.groupBy("block")).applyInArrow(
         _send_fragments(kind, blocks), "bucket int, block int, number binary, size binary, part binary, windows binary, least binary, data binary")

@@ -55,7 +55,7 @@ def _prefixes(common: np.ndarray, order: np.ndarray, symbol: np.ndarray, rank: n
     at = np.flatnonzero(same)
     if len(at):
         r = rank[at]
-        fall = np.argsort(-order[r - 1])  # falling starts: nothing between the ranges is looked at
+        fall = slice(None, None, -1)  # falling starts: little between the ranges is looked at
         r = r[fall]
         ends = np.empty(2 * len(r), np.int64)
         ends[0::2], ends[1::2] = order[r - 1] + 1, order[r] + 1
@@ -86,16 +86,19 @@ def collection_order(data: np.ndarray, start: np.ndarray, size: np.ndarray, cap:
             who = strings[order[rank]] >> 8
             left = size[who] - j
             symbol = np.where(left > 0, data[start[who] + np.maximum(left, 1) - 1].astype(np.uint16) + 1, 0)
+            place = m + rank  # the m empty suffixes stand first
             fresh = np.zeros(len(symbols) + len(rank), bool)
-            fresh[m + rank] = True  # the m empty suffixes stand first
-            old = ~fresh
-            out = np.empty(len(fresh), np.uint16)
-            out[old], out[fresh] = have, symbol << 8
-            place = m + touched
-            out[place] = (out[place] & 0xFF00) | _prefixes(common, order, extended, touched, cap)
+            fresh[place] = True
+            # old entries keep their order and move up by the new ones before them
+            source = np.arange(len(fresh), dtype=np.int32 if len(fresh) < 1 << 31 else np.int64)
+            source -= np.cumsum(fresh, dtype=source.dtype)
+            out = have.take(source, mode="clip")
+            out[place] = symbol << 8
+            place_touched = m + touched
+            out[place_touched] = (out[place_touched] & 0xFF00) | _prefixes(common, order, extended, touched, cap)
             transform.write(out)
-            out = np.empty(len(fresh), strings.dtype)
-            out[old], out[fresh] = strings, (who << 8) | j
+            out = strings.take(source, mode="clip")
+            out[place] = (who << 8) | j
             owners.write(out)
         strings = owners.read()
         return (strings >> 8).astype(np.int64), (strings & 255).astype(np.int64), transform.read() & 0xFF
