@@ -25,9 +25,9 @@ from array import array
 
 import numpy as np
 
-#: Pieces of one generation. Two generations are kept per worker (some 100 MB):
+#: Pieces of one generation. Two generations are kept per worker (some 150 MB):
 #: when the newer is full it becomes the older, and what is met again moves on.
-KEPT = 250_000
+KEPT = 400_000
 LONGEST_KEPT = 64
 _RUNS = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 _ALONE = re.compile(r"(?<=\S)(?= \S)")
