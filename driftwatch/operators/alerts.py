@@ -58,12 +58,13 @@ def create_alerts(customers: DataFrame, txns: DataFrame, gray_share: float = dim
 
 
 def alert_transactions(alerts: DataFrame, txns: DataFrame, country=None, method=None, txn_type=None,
-                       min_amount=None, max_amount=None, limit: int = 500,
+                       min_amount=None, max_amount=None, limit: int | None = 500,
                        case_insensitive: bool = False, start_date=None, end_date=None,
                        counterparty=None) -> DataFrame:
     """Each alert's transactions with optional predicates, newest
     first, at most ``limit`` per alert (a per-group top-k; Spark plans a
-    partial group limit before the shuffle).  A03 mode compares text
+    partial group limit before the shuffle); ``None`` gives every row, unranked,
+    as an export needs.  A03 mode compares text
     case-insensitively, ignores falsy bounds and adds a date range and a
     counterparty substring."""
     t = txns
@@ -89,6 +90,8 @@ def alert_transactions(alerts: DataFrame, txns: DataFrame, country=None, method=
         t = t.filter(F.lower(F.col("counterparty")).contains(str(counterparty).lower()))
     j = alerts.select("alert_id", K).join(t, K)
     w = Window.partitionBy("alert_id").orderBy(F.col("ts_us").desc(), F.col("transaction_id").desc())
+    if limit is None:
+        return j.withColumn("rank", F.lit(None).cast("int"))
     return (j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
             .withColumn("usd_amount", F.round(usd_amount(), 2)))
 

@@ -119,7 +119,7 @@ def q_s11_export_alert_csv(spark, sf):
     prep(spark)
     path = (f"{checkpoint_dir(spark).rstrip('/')}/exports/{spark.sparkContext.applicationId}/"
             f"{hashlib.md5(sf.encode()).hexdigest()[:12]}/alert_txns")
-    t = A.alert_transactions(_alerts(spark, sf), V(spark, sf, "tx_orders"), limit=10000)
+    t = A.alert_transactions(_alerts(spark, sf), V(spark, sf, "tx_orders"), limit=None)
     LD.export_alert_transactions(t.select("alert_id", "transaction_id", "ts_us", "transaction_type", "amount",
                                           "currency", "method", "country", "counterparty"), path)
     back = spark.read.option("header", True).csv(path)
