@@ -29,11 +29,17 @@ import numpy as np
 #: when the newer is full it becomes the older, and what is met again moves on.
 KEPT = 400_000
 LONGEST_KEPT = 64
-_RUNS = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 _ALONE = re.compile(r"(?<=\S)(?= \S)")
 _MARKS = ".,;:!?"
 
 
+def _single_blanks(text: str) -> bool:
+    """Whether all white space is blanks and line feeds, each alone between two other characters."""
+    words = text.split()
+    white = len(text) - len("".join(words))
+    return white == len(words) - 1 and white == text.count(" ") + text.count("\n")
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters by which byte-level vocabularies name bytes: printable ones
     stand for themselves, the rest follow from U+0100 on."""
@@ -102,9 +108,9 @@ class Encoder:
         """All ids of a text, as little-endian unsigned 32-bit integers."""
         if self.blanks == "drop":
             return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
-        if _RUNS.search(text):
-            return self._joined([p[1:] if i else p for i, p in enumerate(_ALONE.split(text))])
-        return self.first["\n"].join([self._joined(line.split(" ")) for line in text.split("\n")])
+        if _single_blanks(text):
+            return self.first["\n"].join([self._joined(line.split(" ")) for line in text.split("\n")])
+        return self._joined([p[1:] if i else p for i, p in enumerate(_ALONE.split(text))])
 
     def _joined(self, parts: list[str]) -> bytes:
         return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
