@@ -162,7 +162,7 @@ def q_f13_dimension_weights(spark, sf):
 
 def q_f16_finding_texts(spark, sf):
     prep(spark)
-    return AT.finding_texts(AT.top_drivers(_attr(spark, sf), 10))
+    return AT.finding_texts(AT.top_drivers(_attr(spark, sf), 10), V(spark, sf, "customers_v"))
 
 
 QUERIES.update({
