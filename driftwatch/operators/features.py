@@ -57,7 +57,7 @@ def rapid_sequence(txns: DataFrame) -> DataFrame:
 def traditional_features(customers: DataFrame, txns: DataFrame,
                          reference_date: str = dims.ACCOUNT_AGE_REFERENCE) -> DataFrame:
     """F01 (+F02, F03): 38 columns per customer with rows, then label columns."""
-    t = txns.join(customers.select(K), K, "left_semi")
+    t = txns  # the aggregates meet the customers below
     amt = F.col("amount")
     dep = F.col("transaction_type") == "deposit"
     wd = F.col("transaction_type") == "withdrawal"
