@@ -24,7 +24,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), whole=True)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

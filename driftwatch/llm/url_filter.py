@@ -99,19 +99,23 @@ def _threshold(scores: DataFrame) -> float:
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,
-                order: int = 4, seed: int = 7) -> DataFrame:
+                order: int = 4, seed: int = 7, whole: bool = False) -> DataFrame:
     """Rows ``(id_col, host, path, rule, verdict, score)``, one per row of ``pages``.
 
-    ``score`` is null where a rule decides. A null or malformed URL has an empty
-    host and path and is scored as the empty string; a null id stays null;
+    ``score`` is null where a rule decides. With ``whole`` the models are trained
+    on and score the URL as it is, with scheme, query and fragment; without it,
+    only host and path. The rules look at host and path either way. A null or
+    malformed URL has an empty host and path; null is scored as the empty string,
+    and so is a malformed one unless ``whole``. A null id stays null;
     repeated rows give repeated rows; without examples of both classes the
     threshold is 0 and every URL without a rule is allowed. An empty table
     gives no rows.
     """
     host, path = split_url(F.col(url_col))
-    base = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
+    text = F.coalesce(F.col(url_col), F.lit("")) if whole else F.concat(host, path)
+    base = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"), text.alias("_s"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("_class", verdict).withColumn("_s", F.concat("host", "path"))
+    base = base.withColumn("rule", rule).withColumn("_class", verdict)
     urls = base.groupBy("_s").agg(F.max("_class").alias("_class"), F.count(F.lit(1)).alias("_n"))
     urls = urls.withColumn("_held", F.col("_class").isNotNull() & (F.pmod(F.xxhash64(F.lit(seed), "_s"), F.lit(5)) == 0))
     train = (_grams(urls.where(F.col("_class").isNotNull() & ~F.col("_held")), order).groupBy("_g")

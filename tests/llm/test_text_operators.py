@@ -173,6 +173,20 @@ def test_url_scores(spark):
             assert r["score"] == pytest.approx(want, abs=1e-6)
 
 
+def test_whole_urls_are_scored(spark):
+    from driftwatch.llm import queries
+    rows = [(i, f"https://s{i}.com/{p}/x?{q}={i}") for i in range(200) for p, q in (("fr", "page"), ("de", "utm"))]
+    rows += [(1001, "https://n.net/x?page=7"), (1002, "https://n.net/x?utm=7"), (1003, "https://n.net/x#utm=7"),
+             (1004, "page=7"), (1005, "utm=7"), (1006, None), (1007, "http://n.net/x?page=7")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, whole=True).where("page_id > 1000").collect()}
+    assert {(r["host"], r["path"], r["rule"]) for i, r in got.items() if i in (1001, 1002, 1003, 1007)} == {("n.net", "/x", None)}
+    assert got[1001]["score"] > got[1002]["score"] and got[1004]["score"] > got[1005]["score"]
+    assert len({got[i]["score"] for i in got}) == len(got)
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    assert Counter(queries.op2(spark, SF).collect()) == Counter(url_filter.filter_urls(table, whole=True).collect())
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([("a", "b")], "item_id string, text string")
     pages = spark.createDataFrame([], "page_id long, url string")
