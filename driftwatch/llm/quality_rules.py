@@ -117,6 +117,13 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, tol: flo
     open). A vote adds the log-odds of its accuracy less those of its class at
     large, so a rule that votes on nearly everything adds nearly nothing. Ends
     when no accuracy moves by ``tol``, or after ``rounds``, with that round's estimate.
+
+    The beliefs hold BELIEF / (1 + BELIEF) = 75 % of each estimate however large
+    the corpus: accuracies stay within [0.675, 0.925] and the share of good
+    documents within [0.6, 0.85]. So one bad vote with no good vote always
+    rejects, and a rule that is wrong on most of its documents keeps a weight.
+    Beliefs that fade with the votes leave EM without a right answer on this
+    data (figures in the README).
     """
     good, right = GOOD, [{v: RIGHT for v in (-1, 1)} for _ in RULES]
     total = sum(n for _, n in patterns)
