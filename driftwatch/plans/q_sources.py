@@ -110,6 +110,14 @@ def q_s08_customer_dimension(spark, sf):
         "account_open_date", F.col("account_open_date").cast("string"))
 
 
+def q_s08_customer_dimension_all(spark, sf):
+    """Every customer; the query above covers the sampled ids, as its oracle does."""
+    prep(spark)
+    ids = V(spark, sf, "customers_v").select(F.col("customer_id").cast("string"),
+                                             F.col("is_suspicious").cast("int").alias("is_fraud"))
+    return LD.build_customer_dimension(ids).withColumn("account_open_date", F.col("account_open_date").cast("string"))
+
+
 def q_s09_alerts_min(spark, sf):
     prep(spark)
     return LD.build_alerts_min(V(spark, sf, "customers_v"))
@@ -142,6 +150,7 @@ QUERIES = {
     "s06_counterparty_pool": q_s06_counterparty_pool,
     "s07_sample_accounts": q_s07_sample_accounts,
     "s08_customer_dimension": q_s08_customer_dimension,
+    "s08_customer_dimension_all": q_s08_customer_dimension_all,
     "s09_alerts_min": q_s09_alerts_min,
     "s11_export_alert_csv": q_s11_export_alert_csv,
     "s12_table_counts": q_s12_table_counts,
@@ -173,6 +182,17 @@ SELECT customer_id, CASE WHEN h % 10 < 7 THEN 'individual' ELSE 'business' END A
   CASE WHEN is_fraud = 1 THEN (['structuring', 'rapid_movement', 'layering', 'funnel_account', 'smurfing'])[((h // 100000) % 5) + 1]
        ELSE 'unknown' END AS typology
 FROM h
+"""),
+    "s08_customer_dimension_all": with_views(""",
+h AS (SELECT CAST(customer_id AS VARCHAR) AS customer_id, is_suspicious,
+        ('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '|cust'), 1, 8))::BIGINT AS h FROM customers_v)
+SELECT customer_id, CASE WHEN h % 10 < 7 THEN 'individual' ELSE 'business' END AS customer_type,
+  CAST(30000 + (h // 10) % 170000 AS DOUBLE) AS annual_income,
+  CAST(CAST(DATE '2025-12-31' - CAST(180 + (h // 1000) % 3470 AS INTEGER) AS DATE) AS VARCHAR) AS account_open_date,
+  is_suspicious,
+  CASE WHEN is_suspicious THEN (['structuring', 'rapid_movement', 'layering', 'funnel_account', 'smurfing'])[((h // 100000) % 5) + 1]
+       ELSE 'unknown' END AS typology
+FROM h
 """),
     "s09_alerts_min": with_views("""
 SELECT CAST(row_number() OVER (ORDER BY customer_id) - 1 AS BIGINT) AS alert_id, customer_id, typology AS alert_type
