@@ -12,8 +12,8 @@ from driftwatch.plans.stages import view as V
 from driftwatch.sources import tables as TB
 
 
-def _acct(spark, sf):
-    return GE.build_edges(TB.account_txns(spark, sf, V(spark, sf, "tx_orders")))
+def _acct(spark, sf, whole=False):
+    return GE.build_edges(TB.account_txns(spark, sf, V(spark, sf, "tx_orders"), whole))
 
 
 def q_g01_build_edges(spark, sf):
@@ -394,7 +394,7 @@ from driftwatch.operators.graph import community as GM  # noqa: E402
 
 def q_g07_pagerank(spark, sf):
     prep(spark)
-    return rounded(GC.pagerank(_acct(spark, sf)))
+    return rounded(GC.pagerank(_acct(spark, sf, whole=True)))
 
 
 def q_g08_betweenness(spark, sf):
@@ -492,3 +492,45 @@ def cycles_cte(p: str, max_len: int = 8, max_cycles: int = 20) -> str:
 ORACLES["g04_circular_flows"] = with_views("," + edges_cte("account_txns", "g_") + "," + cycles_cte("g_") + """
 SELECT customer_id, has_circular_flow, num_cycles, max_cycle_length, round(cycle_total_amount, 6) AS cycle_total_amount FROM g_circ
 """)
+
+
+# ------------------------------------------------------------ account graph of all lines
+def q_g02_nodes_all(spark, sf):
+    prep(spark)
+    return GE.build_nodes(_acct(spark, sf, whole=True), V(spark, sf, "customers_v"))
+
+
+def q_g03_degrees_flows_all(spark, sf):
+    prep(spark)
+    return rounded(GF.degrees_flows(_acct(spark, sf, whole=True), V(spark, sf, "customers_v")))
+
+
+def q_g14_structural_risk_all(spark, sf):
+    prep(spark)
+    return GF.structurally_risky(_acct(spark, sf, whole=True))
+
+
+QUERIES.update({
+    "g02_nodes_all": q_g02_nodes_all,
+    "g03_degrees_flows_all": q_g03_degrees_flows_all,
+    "g14_structural_risk_all": q_g14_structural_risk_all,
+})
+
+_ALL = """,
+account_all AS (
+  SELECT t.* REPLACE (CAST(t.src_partkey % (SELECT count(*) FROM customer) AS VARCHAR) AS counterparty)
+  FROM tx_orders t
+),"""
+ORACLES.update({
+    "g02_nodes_all": with_views(_ALL + edges_cte("account_all", "g_") + """,
+ends AS (SELECT src AS id, 2 AS t FROM g_edges UNION ALL SELECT dst, 1 FROM g_edges
+         UNION ALL SELECT CAST(customer_id AS VARCHAR), 2 FROM customers_v)
+SELECT id, CASE WHEN max(t) = 2 THEN 'customer' ELSE 'counterparty' END AS node_type FROM ends GROUP BY id
+"""),
+    "g03_degrees_flows_all": with_views(_ALL + edges_cte("account_all", "g_") + "," + flows_cte("g_")
+                                        + f"\nSELECT {FLOW_OUT} FROM g_flows"),
+    "g14_structural_risk_all": with_views(_ALL + edges_cte("account_all", "g_") + "," + flows_cte("g_") + """
+SELECT id, ((in_degree >= 4 AND out_degree <= 2) OR (out_degree >= 4 AND in_degree <= 2) OR in_degree + out_degree >= 12) AS is_risky
+FROM g_deg
+"""),
+})

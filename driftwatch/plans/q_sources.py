@@ -47,7 +47,7 @@ def _events_raw(spark, sf):
 
 def q_s02_load_account_edges(spark, sf):
     prep(spark)
-    t = TB.account_txns(spark, sf, V(spark, sf, "tx_orders"))
+    t = TB.account_txns(spark, sf, V(spark, sf, "tx_orders"), whole=True)
     mn = t.agg(F.min("ts_us").alias("_mn"))
     raw = attach_scalars(t, mn).select(
         F.col("customer_id").alias("sourceNodeId"), F.col("counterparty").cast("long").alias("targetNodeId"),
