@@ -20,6 +20,9 @@ counting. For the others:
    verified: so every link between two components is found, and no pairs within
    a group of copies are enumerated.
 
+The result is components, not all links: a link inside a component that is not
+one with a hub is never verified, and no links, link counts or pairs come out.
+
 Equal texts enter as one document. Counting goes through compact sorted arrays of
 shortened hashes: two shingles that meet by chance only look less rare than they are.
 """
