@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import decontaminate, fm_dedup, ngram_join, packing, quality_rules, records, shard_interleave, site_quality, suffix_dedup, url_filter
+from driftwatch.llm import decontaminate, fm_dedup, hard_negatives, ngram_join, packing, quality_rules, records, shard_interleave, site_quality, suffix_dedup, url_filter
 from driftwatch.llm.common import table
 
 #: Vocabulary files and the end mark of the contracts.
@@ -62,6 +62,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID, blanks="lead", lower=False)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec, label = F.col("vec_id"), F.col("label").cast("long")
+    moved = table(spark, sf_dir, "embeddings").withColumn("label", F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(moved, anchor=vec % 100 == 0)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1,
     "op2_url_ratio": op2,
@@ -73,6 +79,7 @@ QUERIES = {
     "op8_records": op8,
     "op9_interleave": op9,
     "op10_pack": op10,
+    "op11_hard_negatives": op11,
 }
 
 
@@ -83,3 +90,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["pipeline"] = pipeline
 ORACLES: dict[str, str] = {}
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+         list_sum([z[1] * z[2] for z in list_zip(a.c, b.c)])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+   AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
