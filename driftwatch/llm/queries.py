@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import decontaminate, fm_dedup, hard_negatives, ngram_join, packing, quality_rules, records, shard_interleave, site_quality, suffix_dedup, url_filter
+from driftwatch.llm import decontaminate, fm_dedup, hard_negatives, ngram_join, nnls_packing, packing, quality_rules, records, shard_interleave, site_quality, suffix_dedup, url_filter
 from driftwatch.llm.common import table
 
 #: Vocabulary files and the end mark of the contracts.
 END_ID = 2
+WORD_END_ID = 1
 
 
 def vocabulary(name: str) -> str:
@@ -68,6 +69,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(moved, anchor=vec % 100 == 0)
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnls_packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), WORD_END_ID)
+
+
 QUERIES = {
     "op1_suffix_dedup": op1,
     "op2_url_ratio": op2,
@@ -80,6 +85,7 @@ QUERIES = {
     "op9_interleave": op9,
     "op10_pack": op10,
     "op11_hard_negatives": op11,
+    "op13_nnls_pack": op13,
 }
 
 
