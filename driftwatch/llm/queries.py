@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import decontaminate, fm_dedup, hard_negatives, ngram_join, nnls_packing, packing, quality_rules, records, shard_interleave, site_quality, suffix_dedup, url_filter
+from driftwatch.llm import collocations, decontaminate, fm_dedup, hard_negatives, ngram_join, nnls_packing, packing, quality_rules, records, shard_interleave, site_quality, suffix_dedup, url_filter
 from driftwatch.llm.common import table
 
 #: Vocabulary files and the end mark of the contracts.
@@ -69,6 +69,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(moved, anchor=vec % 100 == 0)
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nnls_packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), WORD_END_ID)
 
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_interleave": op9,
     "op10_pack": op10,
     "op11_hard_negatives": op11,
+    "op12_collocations": op12,
     "op13_nnls_pack": op13,
 }
 
@@ -118,3 +123,32 @@ n AS (
    AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
 """
+
+ORACLES["op12_collocations"] = r"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+words AS (SELECT lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS w FROM pieces),
+counted AS (
+  SELECT lang, n, phrase, count(*) AS a FROM (
+    SELECT lang, n, unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)]) AS phrase
+    FROM words, range(1, 5) t(n))
+  GROUP BY ALL),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE n = 1 GROUP BY lang),
+frequent AS (SELECT lang, n AS w, phrase, a, string_split(phrase, ' ') AS words FROM counted WHERE a >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, ((2000000::HUGEINT * c.a) // (l.a + r.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, w)) AS k FROM frequent WHERE w > 1) c
+  JOIN frequent l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:k], ' ')
+  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[k + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS m FROM (
+    SELECT lang, a, array_to_string(words[i:i + s - 1], ' ') AS phrase
+    FROM frequent, range(2, 4) t(s), range(1, 4) u(i) WHERE w > s AND i + s - 1 <= w)
+  GROUP BY ALL),
+kept AS (SELECT s.* FROM scored s LEFT JOIN inside i USING (lang, phrase) WHERE i.m IS NULL OR 100 * i.m < 80 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
