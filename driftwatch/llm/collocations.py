@@ -46,8 +46,8 @@ SMALL_MASS, LARGE_MASS, FEW = 4 << 20, 64 << 20, 256
 PHRASES = 1 << 18
 #: Tasks of one pass; beyond it a task gets several blocks or partitions, one after the other.
 MOST_TASKS = 20_000
-#: Copies of the table of parts, so that a word in very many phrases is looked up in several tasks.
-COPIES = 8
+#: Parts that are at least this share of all words are broadcast: at most ``COMMON`` of each length.
+COMMON = 1000
 SALTS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -294,6 +294,17 @@ def _part(begin, length):
     return F.array_join(F.slice("words", begin, length), " ")
 
 
+def _looked_up(cuts: DataFrame, side: str, name: str, parts: DataFrame, all_words: int) -> DataFrame:
+    """Each cut with its part's count. A part is in at most as many phrases as it occurs, over the threshold;
+    the few very common ones are broadcast, and their cuts are dealt by phrase in the join that finds the others."""
+    common = F.col("f") * COMMON >= all_words
+    few = parts.where(common).withColumnsRenamed({"part": side, "f": "common"})
+    rest = parts.where(~common).select("lang", F.concat(F.lit("p"), "part").alias("look"), F.col("f").alias("rest"))
+    cuts = cuts.join(F.broadcast(few), ["lang", side], "left")
+    cuts = cuts.withColumn("look", F.when(F.col("common").isNull(), F.concat(F.lit("p"), side)).otherwise(F.concat(F.lit("c"), "phrase")))
+    return cuts.join(rest, ["lang", "look"], "left").withColumn(name, F.coalesce("common", "rest")).drop("common", "rest", "look")
+
+
 def mine(docs: DataFrame, threshold: int = 30, top: int = 2000, lang_col: str = "lang", text_col: str = "text",
          contained: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows ``(lang, rank, phrase, a, l, r, n, score)``: each language's best ``top`` phrases.
@@ -307,14 +318,12 @@ def mine(docs: DataFrame, threshold: int = 30, top: int = 2000, lang_col: str =
     table = cut_lineage(frequent_phrases(docs, threshold, lang_col, text_col, block_bytes))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     phrases = table.where("w > 0").select("lang", "phrase", "w", "a", F.split("phrase", " ").alias("words"))
-    parts = phrases.where(F.col("w") < LONGEST).select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"),
-                                                       F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
-    candidates = phrases.where("w > 1")
-    cuts = candidates.select("lang", "phrase", "w", "a", "words", F.explode(F.sequence(F.lit(1), F.col("w") - 1)).alias("k"),
-                             F.pmod(F.xxhash64("phrase"), F.lit(COPIES)).cast("int").alias("copy"))
-    cuts = cuts.select("lang", "phrase", "a", "k", "copy", _part(F.lit(1), F.col("k")).alias("left"), _part(F.col("k") + 1, F.col("w") - F.col("k")).alias("right"))
+    parts = phrases.where(F.col("w") < LONGEST).select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
+    cuts = phrases.where("w > 1").select("lang", "phrase", "w", "a", "words", F.explode(F.sequence(F.lit(1), F.col("w") - 1)).alias("k"))
+    cuts = cuts.select("lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("left"), _part(F.col("k") + 1, F.col("w") - F.col("k")).alias("right"))
+    all_words = table.where("w = 0").agg(F.sum("a")).first()[0] or 0
     for side, name in (("left", "l"), ("right", "r")):
-        cuts = cuts.join(parts.withColumnsRenamed({"part": side, "f": name}), ["lang", side, "copy"])
+        cuts = _looked_up(cuts, side, name, parts, all_words)
     cuts = cuts.withColumns({"wa": wide("a"), "wl": wide("l"), "wr": wide("r")}).withColumn(
         "score", F.expr("cast(2000000 as decimal(7,0)) * wa div (wl + wr)"))
     lowest = F.min(F.struct("score", "k", "l", "r"))
