@@ -42,6 +42,8 @@ BLOCK_BYTES = 8 << 20
 SLACK = 8
 #: Occurrences a partition holds while there are less than ``FEW`` partitions, and at most.
 SMALL_MASS, LARGE_MASS, FEW = 4 << 20, 64 << 20, 256
+#: Blocks counted by one task of the second pass: Spark adds up their phrases before it deals them.
+BLOCKS_A_TASK = 4
 #: Phrases to one Arrow array.
 PHRASES = 1 << 18
 #: Tasks of one pass; beyond it a task gets several blocks or partitions, one after the other.
@@ -283,7 +285,7 @@ def frequent_phrases(docs: DataFrame, threshold: int, lang_col: str = "lang", te
     n_blocks = blocks.count()
     layout = Layout(n_blocks * block_bytes * LONGEST // 6)  # some six bytes to a word; capacities follow the true mass
     sent = blocks.mapInArrow(_send(layout), "block long, part int, keys binary, counts binary")
-    parts, tasks = min(2 * layout.count, MOST_TASKS), min(2 * n_blocks or 1, MOST_TASKS)
+    parts, tasks = min(2 * layout.count, MOST_TASKS), min(-(-n_blocks // BLOCKS_A_TASK) or 1, MOST_TASKS)
     answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(_answer(threshold), "block long, keys binary")
     found = blocks.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(
         _count(layout), "lang string, phrase string, w int, a long")
