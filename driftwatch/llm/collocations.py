@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.llm.hashing import U64, gather, mix, slice_hashes
@@ -42,8 +42,8 @@ BLOCK_BYTES = 8 << 20
 SLACK = 8
 #: Occurrences a partition holds while there are less than ``FEW`` partitions, and at most.
 SMALL_MASS, LARGE_MASS, FEW = 4 << 20, 64 << 20, 256
-#: Blocks counted by one task of the second pass: Spark adds up their phrases before it deals them.
-BLOCKS_A_TASK = 4
+#: Blocks to a group of the second pass, which adds up their phrases before they are dealt.
+BLOCKS_A_GROUP = 8
 #: Phrases to one Arrow array.
 PHRASES = 1 << 18
 #: Tasks of one pass; beyond it a task gets several blocks or partitions, one after the other.
@@ -251,12 +251,19 @@ def _answer(threshold: int):
 _FOUND = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("w", pa.int32()), ("a", pa.int64())])
 
 
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """Counts of equal phrases added up, by phrase: neighbours share their first words, so the shuffle stays small."""
+    out = pa.concat_tables(tables).group_by(["lang", "phrase", "w"], use_threads=False).aggregate([("a", "sum")])
+    return out.rename_columns({"a_sum": "a"}).select(_FOUND.names).sort_by("phrase")
+
+
 def _count(layout: Layout):
-    """One block: its phrases with a surviving hash and their counts in it; and, as the phrase of 0 words, its words by language."""
+    """Some blocks: their phrases with a surviving hash and their counts; and, as the phrase of 0 words, their words by language."""
     def run(key, blocks, replies):
-        out = []
+        all_ = _FOUND.empty_table()
         good = np.unique(np.concatenate([np.zeros(0, U64), *(np.cumsum(_unpack(x.as_py(), "<u8"), dtype=U64) for x in replies.column("keys"))]))
-        for row in blocks.to_pylist():
+        for at_row in range(blocks.num_rows):
+            row, out = blocks.slice(at_row, 1).to_pylist()[0], [all_]
             words, langs, salt = _read(row)
             names = pa.array(row["names"], pa.string())
             number = np.bincount(langs[words.text], minlength=len(names))
@@ -272,7 +279,8 @@ def _count(layout: Layout):
                     i, m = first[some], pa.array(np.full(len(some), n), pa.int32())
                     lang = names.take(pa.array(langs[words.text[i]], pa.int32()))
                     out.append(pa.table([lang, words.phrases(i, n), m, pa.array(counts[some], pa.int64())], schema=_FOUND))
-        return pa.concat_tables(out) if out else _FOUND.empty_table()
+            all_ = _added(out)
+        return all_
     return run
 
 
@@ -285,25 +293,25 @@ def frequent_phrases(docs: DataFrame, threshold: int, lang_col: str = "lang", te
     n_blocks = blocks.count()
     layout = Layout(n_blocks * block_bytes * LONGEST // 6)  # some six bytes to a word; capacities follow the true mass
     sent = blocks.mapInArrow(_send(layout), "block long, part int, keys binary, counts binary")
-    parts, tasks = min(2 * layout.count, MOST_TASKS), min(-(-n_blocks // BLOCKS_A_TASK) or 1, MOST_TASKS)
+    parts, groups = min(2 * layout.count, MOST_TASKS), -(-n_blocks // BLOCKS_A_GROUP) or 1
     answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(_answer(threshold), "block long, keys binary")
-    found = blocks.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(
-        _count(layout), "lang string, phrase string, w int, a long")
+    grouped = lambda df: df.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).repartition(min(groups, MOST_TASKS), "g").groupBy("g")
+    found = grouped(blocks).cogroup(grouped(answers)).applyInArrow(_count(layout), "lang string, phrase string, w int, a long")
     return found.groupBy("lang", "w", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= threshold) | (F.col("w") == 0))
 
 
 def _part(begin, length):
-    return F.array_join(F.slice("words", begin, length), " ")
+    return F.array_join(F.slice(F.split("phrase", " "), begin, length), " ")
 
 
-def _looked_up(cuts: DataFrame, side: str, name: str, parts: DataFrame, all_words: int) -> DataFrame:
+def _looked_up(cuts: DataFrame, part: Column, name: str, parts: DataFrame, all_words: int) -> DataFrame:
     """Each cut with its part's count. A part is in at most as many phrases as it occurs, over the threshold;
     the few very common ones are broadcast, and their cuts are dealt by phrase in the join that finds the others."""
     common = F.col("f") * COMMON >= all_words
-    few = parts.where(common).withColumnsRenamed({"part": side, "f": "common"})
+    few = parts.where(common).withColumnRenamed("f", "common")
     rest = parts.where(~common).select("lang", F.concat(F.lit("p"), "part").alias("look"), F.col("f").alias("rest"))
-    cuts = cuts.join(F.broadcast(few), ["lang", side], "left")
-    cuts = cuts.withColumn("look", F.when(F.col("common").isNull(), F.concat(F.lit("p"), side)).otherwise(F.concat(F.lit("c"), "phrase")))
+    cuts = cuts.withColumn("part", part).join(F.broadcast(few), ["lang", "part"], "left")
+    cuts = cuts.withColumn("look", F.when(F.col("common").isNull(), F.concat(F.lit("p"), "part")).otherwise(F.concat(F.lit("c"), "phrase"))).drop("part")
     return cuts.join(rest, ["lang", "look"], "left").withColumn(name, F.coalesce("common", "rest")).drop("common", "rest", "look")
 
 
@@ -319,21 +327,20 @@ def mine(docs: DataFrame, threshold: int = 30, top: int = 2000, lang_col: str =
     """
     table = cut_lineage(frequent_phrases(docs, threshold, lang_col, text_col, block_bytes))
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    phrases = table.where("w > 0").select("lang", "phrase", "w", "a", F.split("phrase", " ").alias("words"))
+    phrases = table.where("w > 0").select("lang", "phrase", "w", "a")
     parts = phrases.where(F.col("w") < LONGEST).select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
-    cuts = phrases.where("w > 1").select("lang", "phrase", "w", "a", "words", F.explode(F.sequence(F.lit(1), F.col("w") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("left"), _part(F.col("k") + 1, F.col("w") - F.col("k")).alias("right"))
+    cuts = phrases.where("w > 1").select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.col("w") - 1)).alias("k"))
     all_words = table.where("w = 0").agg(F.sum("a")).first()[0] or 0
-    for side, name in (("left", "l"), ("right", "r")):
-        cuts = _looked_up(cuts, side, name, parts, all_words)
+    cuts = _looked_up(cuts, _part(F.lit(1), F.col("k")), "l", parts, all_words)
+    cuts = _looked_up(cuts, _part(F.col("k") + 1, F.lit(LONGEST)), "r", parts, all_words)
     cuts = cuts.withColumns({"wa": wide("a"), "wl": wide("l"), "wr": wide("r")}).withColumn(
         "score", F.expr("cast(2000000 as decimal(7,0)) * wa div (wl + wr)"))
     lowest = F.min(F.struct("score", "k", "l", "r"))
     scored = cuts.groupBy("lang", "phrase", "a").agg(lowest.alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
 
-    longer = phrases.where("w > 2").select("lang", "w", "words", F.col("a").alias("m"))
-    inner = longer.select("lang", "m", "w", "words", F.explode(F.sequence(F.lit(2), F.col("w") - 1)).alias("size"))
-    inner = inner.select("lang", "m", "words", "size", F.explode(F.sequence(F.lit(1), F.col("w") - F.col("size") + 1)).alias("at"))
+    longer = phrases.where("w > 2").select("lang", "w", "phrase", F.col("a").alias("m"))
+    inner = longer.select("lang", "m", "w", "phrase", F.explode(F.sequence(F.lit(2), F.col("w") - 1)).alias("size"))
+    inner = inner.select("lang", "m", "phrase", "size", F.explode(F.sequence(F.lit(1), F.col("w") - F.col("size") + 1)).alias("at"))
     inner = inner.select("lang", _part(F.col("at"), F.col("size")).alias("phrase"), "m").groupBy("lang", "phrase").agg(F.max("m").alias("m"))
     inside = F.expr(f"cast(m as decimal(19,0)) * 100 >= cast(a as decimal(19,0)) * {int(contained)}")
     kept = scored.join(inner, ["lang", "phrase"], "left").where(F.col("m").isNull() | ~inside)
