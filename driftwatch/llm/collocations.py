@@ -42,8 +42,8 @@ BLOCK_BYTES = 8 << 20
 SLACK = 8
 #: Occurrences a partition holds while there are less than ``FEW`` partitions, and at most.
 SMALL_MASS, LARGE_MASS, FEW = 4 << 20, 64 << 20, 256
-#: Blocks to a group of the second pass, which adds up their phrases before they are dealt.
-BLOCKS_A_GROUP = 8
+#: Blocks counted by one task of the second pass: Spark adds up their phrases before it deals them.
+BLOCKS_A_TASK = 8
 #: Phrases to one Arrow array.
 PHRASES = 1 << 18
 #: Tasks of one pass; beyond it a task gets several blocks or partitions, one after the other.
@@ -251,19 +251,13 @@ def _answer(threshold: int):
 _FOUND = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("w", pa.int32()), ("a", pa.int64())])
 
 
-def _added(tables: list[pa.Table]) -> pa.Table:
-    """Counts of equal phrases added up, by phrase: neighbours share their first words, so the shuffle stays small."""
-    out = pa.concat_tables(tables).group_by(["lang", "phrase", "w"], use_threads=False).aggregate([("a", "sum")])
-    return out.rename_columns({"a_sum": "a"}).select(_FOUND.names).sort_by("phrase")
-
-
 def _count(layout: Layout):
-    """Some blocks: their phrases with a surviving hash and their counts; and, as the phrase of 0 words, their words by language."""
+    """One block: its phrases with a surviving hash and their counts; and, as the phrase of 0 words, its words by
+    language. Neighbours share their first words, so what is dealt compresses well."""
     def run(key, blocks, replies):
-        all_ = _FOUND.empty_table()
+        out = []
         good = np.unique(np.concatenate([np.zeros(0, U64), *(np.cumsum(_unpack(x.as_py(), "<u8"), dtype=U64) for x in replies.column("keys"))]))
-        for at_row in range(blocks.num_rows):
-            row, out = blocks.slice(at_row, 1).to_pylist()[0], [all_]
+        for row in blocks.to_pylist():
             words, langs, salt = _read(row)
             names = pa.array(row["names"], pa.string())
             number = np.bincount(langs[words.text], minlength=len(names))
@@ -278,9 +272,8 @@ def _count(layout: Layout):
                 for some in np.array_split(np.arange(len(first)), len(first) // PHRASES + 1):
                     i, m = first[some], pa.array(np.full(len(some), n), pa.int32())
                     lang = names.take(pa.array(langs[words.text[i]], pa.int32()))
-                    out.append(pa.table([lang, words.phrases(i, n), m, pa.array(counts[some], pa.int64())], schema=_FOUND))
-            all_ = _added(out)
-        return all_
+                    out.append(pa.table([lang, words.phrases(i, n), m, pa.array(counts[some], pa.int64())], schema=_FOUND).sort_by("phrase"))
+        return pa.concat_tables(out) if out else _FOUND.empty_table()
     return run
 
 
@@ -293,10 +286,10 @@ def frequent_phrases(docs: DataFrame, threshold: int, lang_col: str = "lang", te
     n_blocks = blocks.count()
     layout = Layout(n_blocks * block_bytes * LONGEST // 6)  # some six bytes to a word; capacities follow the true mass
     sent = blocks.mapInArrow(_send(layout), "block long, part int, keys binary, counts binary")
-    parts, groups = min(2 * layout.count, MOST_TASKS), -(-n_blocks // BLOCKS_A_GROUP) or 1
+    parts, tasks = min(2 * layout.count, MOST_TASKS), min(-(-n_blocks // BLOCKS_A_TASK) or 1, MOST_TASKS)
     answers = sent.repartition(parts, "part").groupBy("part").applyInArrow(_answer(threshold), "block long, keys binary")
-    grouped = lambda df: df.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups))).repartition(min(groups, MOST_TASKS), "g").groupBy("g")
-    found = grouped(blocks).cogroup(grouped(answers)).applyInArrow(_count(layout), "lang string, phrase string, w int, a long")
+    found = blocks.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(
+        _count(layout), "lang string, phrase string, w int, a long")
     return found.groupBy("lang", "w", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= threshold) | (F.col("w") == 0))
 
 
