@@ -55,10 +55,10 @@ def normalize(v, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def entropy_agg(count_col: str = "n") -> Column:
+def entropy_agg(count_col="n") -> Column:
     """Shannon entropy (log2) of a group of category counts, as one aggregate:
     H = log2(T) - sum(c * log2 c) / T   with T = sum(c).  0 for an empty group."""
-    c = F.col(count_col).cast("double")
+    c = col(count_col).cast("double")
     t = F.sum(c)
     h = F.log2(t) - F.sum(c * F.log2(c)) / t
     return F.coalesce(F.greatest(h, F.lit(0.0)), F.lit(0.0))

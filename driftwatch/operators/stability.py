@@ -8,6 +8,7 @@ from driftwatch.functions.exprs import attach_scalars
 
 from driftwatch.functions import dims
 from driftwatch.functions.exprs import normalize
+from driftwatch.session import stored
 
 K = "customer_id"
 
@@ -143,9 +144,6 @@ def level_counts(monitor: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- I05
-WINDOW_KEY_FACTOR = 100_000  # (customer, window j) -> customer * factor + j
-
-
 def bsi_timeline(txns: DataFrame, window_days: int = 60, step_days: int = 30,
                  signal_window_days: int = dims.ROLLING_WINDOW_DAYS) -> DataFrame:
     """Sliding windows anchored at each customer's first row
@@ -153,32 +151,31 @@ def bsi_timeline(txns: DataFrame, window_days: int = 60, step_days: int = 30,
     rows; per window the behavioural signals, the window's own star graph and
     the raw BSI.  Each row is exploded into the ≤ ceil(w/step) windows that
     hold it, and a (customer, window) pair is scored as one entity by the
-    same grouped operators."""
+    same grouped operators.  Ids may be of any type, and a customer's anchors
+    reach its rows by (customer, day)."""
     from driftwatch.functions.exprs import US_PER_DAY
     from driftwatch.operators import signals as S
     from driftwatch.operators.graph import flows as GF
     from driftwatch.operators.graph.edges import INVALID_COUNTERPARTIES
     w_us, s_us = window_days * US_PER_DAY, step_days * US_PER_DAY
-    span = txns.groupBy(K).agg(F.min("ts_us").alias("_mn"), F.max("ts_us").alias("_mx"), F.count("*").alias("_n"))
-    d = txns.join(span.filter(F.col("_n") >= 5), K)
-    last = F.floor((F.col("ts_us") - F.col("_mn")) / F.lit(s_us)).cast("long")
+    d = S.with_history(txns).filter(F.col("_n") >= 5)
+    last = F.floor((F.col("ts_us") - F.col("_min")) / F.lit(s_us)).cast("long")
     per = -(-window_days // step_days)  # windows that can hold one row
     js = F.sequence(F.greatest(last - F.lit(per - 1), F.lit(0)), last)
     x = d.withColumn("_j", F.explode(js))
-    start = F.col("_mn") + F.col("_j") * F.lit(s_us)
+    start = F.col("_min") + F.col("_j") * F.lit(s_us)
     x = x.filter((F.col("ts_us") >= start) & (F.col("ts_us") < start + F.lit(w_us))
-                 & (start + F.lit(w_us) <= F.col("_mx") + F.lit(US_PER_DAY)))
-    cnt = x.groupBy(K, "_j").agg(F.count("*").alias("num_transactions"), F.sum("amount").alias("total_volume"),
-                                 F.first("_mn").alias("_mn"))
-    keep = cnt.filter(F.col("num_transactions") >= 3)
-    ent = (x.join(keep.select(K, "_j"), [K, "_j"], "left_semi")
-           .withColumn("_owner", F.col(K))
-           .withColumn(K, F.col(K) * WINDOW_KEY_FACTOR + F.col("_j")))
-    beh = S.all_signals(ent, window_days=signal_window_days)
+                 & (start + F.lit(w_us) <= F.col("_max") + F.lit(US_PER_DAY)))
+    entity = F.concat_ws(":", F.col(K).cast("string"), "_j")  # the index holds no colon, so no two pairs share it
+    keep = x.groupBy(K, "_j").agg(F.count("*").alias("num_transactions"), F.sum("amount").alias("total_volume"),
+                                  F.min("_min").alias("_mn")).filter(F.col("num_transactions") >= 3)
+    ent = stored(x.select("ts_us", "amount", "counterparty", "transaction_type", "transaction_id",
+                          F.col(K).cast("string").alias("_owner"), entity.alias(K)), "timeline")
+    beh = S.all_signals(ent, min_rows=3, window_days=signal_window_days)
     valid = F.col("counterparty").isNotNull() & ~F.col("counterparty").isin(*INVALID_COUNTERPARTIES)
     star = ent.groupBy(K).agg(
         F.count_distinct(F.when(valid, F.col("counterparty"))).alias("out_degree"),
-        F.max(valid & (F.col("counterparty") == F.col("_owner").cast("string"))).alias("has_circular_flow"))
+        F.max(valid & (F.col("counterparty") == F.col("_owner"))).alias("has_circular_flow"))
     vel = GF.flow_velocity(ent)
     net = star.join(vel, K).select(
         K, "has_circular_flow",
@@ -187,7 +184,7 @@ def bsi_timeline(txns: DataFrame, window_days: int = 60, step_days: int = 30,
         (F.col("out_degree") >= 4).alias("is_funnel_hub"),
         "flow_velocity", "rapid_passthrough_count")
     b = bsi_dimensions(beh.join(net, K))
-    kk = keep.withColumn(K + "_w", F.col(K) * WINDOW_KEY_FACTOR + F.col("_j"))
+    kk = keep.withColumn(K + "_w", entity)
     j = kk.join(b.withColumnRenamed(K, K + "_w"), K + "_w")
     ws = F.col("_mn") + F.col("_j") * F.lit(s_us)
     return j.select(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -71,6 +72,15 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def stored(df, name: str):
+    """``df`` written as Parquet below the checkpoint folder and read back: later jobs read only the
+    columns they need, and a lost executor costs a read. Unlike a checkpoint it keeps true sizes,
+    where those estimated for a plan multiply over many rounds and take ever longer to plan with."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set = set()
 
 

@@ -2,6 +2,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftwatch.functions.exprs import US_PER_DAY, US_PER_HOUR
 from driftwatch.operators import signals as S
@@ -76,3 +77,117 @@ def test_expansion(spark):
     only_null = _df(spark, [(2, 0, 1.0, None), (2, US_PER_DAY, 1.0, "")])
     r = _one(S.counterparty_expansion(only_null, 30))
     assert r["total_unique_counterparties"] == 0 and r["counterparty_expansion_rate"] == 0.0
+
+
+def _reference(rows, w_days):
+    """B06–B08 of one customer's (ts_us, amount, counterparty) rows in plain Python."""
+    from collections import Counter
+    rows = sorted(rows, key=lambda r: r[0])
+    ts = [r[0] for r in rows]
+
+    def h(values):
+        n = len(values)
+        return -sum(c / n * math.log2(c / n) for c in Counter(values).values()) if n >= 2 else 0.0
+
+    def entropies(part):
+        lo, hi = min(r[1] for r in part), max(r[1] for r in part)
+        bins = [min(9, math.floor((r[1] - lo) / (hi + 1 - lo) * 10)) for r in part]
+        return (h(bins), h([(r[0] // US_PER_DAY + 3) % 7 for r in part]), h([r[2] for r in part if r[2]]))
+
+    w = w_days * US_PER_DAY
+    if (ts[-1] - ts[0]) // US_PER_DAY < 2 * w_days:
+        groups = [rows]
+    else:
+        by = {}
+        for r in rows:
+            k = (r[0] - ts[0]) // w
+            if ts[0] + (k + 1) * w <= ts[-1]:
+                by.setdefault(k, []).append(r)
+        groups = [by[k] for k in sorted(by)]
+    per = [entropies(g) for g in groups]
+    out = {}
+    for i, name in enumerate(("amount", "timing", "counterparty")):
+        out[f"mean_{name}_entropy"] = sum(p[i] for p in per) / len(per)
+        out[f"{name}_entropy_drift"] = max((abs(a[i] - b[i]) for a, b in zip(per, per[1:])), default=0.0)
+    gaps = [(b - a) / US_PER_HOUR for a, b in zip(ts, ts[1:])]
+    days = Counter(t // US_PER_DAY for t in ts)
+    if len(rows) >= 3:
+        m = sum(gaps) / len(gaps)
+        out["inter_arrival_variance"] = sum((g - m) ** 2 for g in gaps) / (len(gaps) - 1)
+        out["burst_events"], out["max_daily_count"] = sum(g < 24 for g in gaps), max(days.values())
+        out["mean_daily_count"] = len(ts) / len(days)
+    valid = [r for r in rows if r[2]]
+    if len(valid) >= 2:
+        first = {}
+        for t, _, cp in valid:
+            first.setdefault(cp, (t - valid[0][0]) // w)
+        n = (valid[-1][0] + US_PER_DAY - valid[0][0]) // w
+        new = [sum(k == i for k in first.values()) for i in range(n)]
+        if n >= 1:
+            out["total_unique_counterparties"], out["counterparty_expansion_rate"] = sum(new), sum(new) / n
+        if n >= 2:
+            mean = (n - 1) / 2
+            out["counterparty_novelty_slope"] = sum((i - mean) * c for i, c in enumerate(new)) / sum((i - mean) ** 2 for i in range(n))
+    return out
+
+
+@pytest.fixture(scope="module")
+def hot_rows():
+    """A third of the rows belong to one customer; nulls, empty counterparties, equal times."""
+    import random
+    rng = random.Random(5)
+    day = lambda: rng.randrange(0, 240) * US_PER_DAY + rng.choice([0, 1, 3, 9, 20]) * US_PER_HOUR + rng.randrange(3)
+    who = [7] * 500 + [rng.randrange(20, 60) for _ in range(1000)]
+    return [(c, day(), round(rng.uniform(5, 9500), 2), rng.choice(["a", "b", None, "", *map(str, range(30))])) for c in who]
+
+
+def test_all_signals_with_a_hot_customer_equal_plain_python(spark, hot_rows):
+    got = {r["customer_id"]: r.asDict() for r in S.all_signals(_df(spark, hot_rows), window_days=30).collect()}
+    by = {}
+    for c, *r in hot_rows:
+        by.setdefault(c, []).append(r)
+    assert set(got) == set(by)
+    for c, rows in by.items():
+        for name, value in _reference(rows, 30).items():
+            assert got[c][name] == pytest.approx(value, abs=1e-9), (c, name)
+
+
+def test_rows_are_never_dealt_by_customer_alone(spark, hot_rows):
+    """Below every exchange on the customer alone stands an aggregate or a window over summaries of days, not raw rows."""
+    import re
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = _df(spark, hot_rows)
+        for out in (S.all_signals(df, window_days=30), S.entropy_drift(df), S.temporal_burst(df), S.counterparty_expansion(df),
+                    S.grouped_entropies(df, ["customer_id"]), S.tumbling_window_index(df)):
+            lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+            seen = 0
+            for line, below in zip(lines, lines[1:]):
+                if re.search(r"Exchange hashpartitioning\(customer_id#\d+L, \d+\)", line):
+                    seen += 1
+                    while re.search(r"(Project|Filter) ", below):
+                        below = lines[lines.index(below) + 1]
+                    assert re.search("Aggregate|Window", below), line + "\n" + below
+            assert seen or out.columns[-1] == "win"
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_one_customers_rows_are_spread(spark, hot_rows):
+    parts = S.with_history(_df(spark, hot_rows)).where("customer_id = 7").repartition(16, "customer_id", S.CELL)
+    sizes = [r["c"] for r in parts.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("c")).collect()]
+    assert sum(sizes) == 500 and max(sizes) < 100
+
+
+def test_timeline_of_text_ids(spark, hot_rows):
+    from driftwatch.operators import stability as ST
+    df = spark.createDataFrame([(c, t, a, cp, "deposit" if i % 2 else "withdrawal", f"t{i}") for i, (c, t, a, cp) in enumerate(hot_rows)],
+                               SCHEMA + ", transaction_type string, transaction_id string")
+    name = F.concat(F.lit("id:"), F.col("customer_id"))
+    a = ST.bsi_timeline(df).withColumn("customer_id", name).collect()
+    b = ST.bsi_timeline(df.withColumn("customer_id", name)).collect()
+    same = lambda rows: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    assert len(a) > 100 and same(a) == same(b)
