@@ -14,7 +14,7 @@ from driftwatch.operators.graph import community as GM
 from driftwatch.plans import q_alerts, q_link, q_signals
 from driftwatch.plans.common import prep, rounded
 from driftwatch.plans.oracle_views import with_views
-from driftwatch.plans.q_graph import _acct
+from driftwatch.plans.q_graph import account_communities
 from driftwatch.plans.stages import stage
 from driftwatch.plans.stages import view as V
 from driftwatch.sources import tables as TB
@@ -100,7 +100,7 @@ def q_r05_usd_amount(spark, sf):
 
 def q_g11_community_sizes(spark, sf):
     prep(spark)
-    lab, _ = GM.communities(_acct(spark, sf))
+    lab = account_communities(spark, sf)
     return lab.groupBy("community").agg(F.count("*").alias("size"))
 
 

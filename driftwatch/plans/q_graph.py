@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftwatch.functions.exprs import attach_scalars
+
 from driftwatch.operators.graph import edges as GE
 from driftwatch.operators.graph import flows as GF
 from driftwatch.operators.graph import paths as GP
@@ -408,18 +410,27 @@ def q_g09_hits(spark, sf):
     return rounded(GC.hits(GE.build_edges(V(spark, sf, "tx_orders"))))
 
 
+def account_communities(spark, sf):
+    """G10 stage output over all transfer lines: labels with the modularity, computed once per application."""
+    from driftwatch.plans.stages import stage
+
+    def build():
+        lab, q = GM.communities(_acct(spark, sf, whole=True))
+        return attach_scalars(lab, q)
+    return stage(spark, sf, "communities", build)
+
+
 def q_g10_communities(spark, sf):
     prep(spark)
-    lab, q = GM.communities(_acct(spark, sf))
-    return lab.crossJoin(q.select(F.round("modularity", 6).alias("modularity")))
+    return account_communities(spark, sf).withColumn("modularity", F.round("modularity", 6))
 
 
 def q_g12_community_signals(spark, sf):
     prep(spark)
-    e = _acct(spark, sf)
+    e = _acct(spark, sf, whole=True)
     c = V(spark, sf, "customers_v")
     risky = GM.resolve_risk_labels(c.withColumn("is_sar", F.col("is_suspicious")), e)
-    return rounded(GM.community_signals(e, c, risky))
+    return rounded(GM.community_signals(e, c, risky, labels=account_communities(spark, sf).select("id", "community")))
 
 
 def q_g13_risk_labels(spark, sf):
