@@ -1,4 +1,4 @@
-"""Radius-1 out-ego signals per node, as edge-driven self-joins.
+"""Radius-1 out-ego signals per node, from triangles listed in degree order.
 
 For a centre c with successor set S (c excluded):
 * size = |S|; directed density = edges inside {c} ∪ S / ((|S|+1)·|S|);
@@ -6,51 +6,99 @@ For a centre c with successor set S (c excluded):
   edges inside S;
 * transitivity of the undirected ego = 3Δ / Σ_v C(deg v, 2), Δ = T + triangles
   inside S, degrees counted without self-loops.
-Every join is driven by an existing edge (wedges and triangles are found by
-joining edges, never by pairing all members of an ego).
+
+An edge inside S closes a triangle with c, and a triangle inside S makes four nodes with all
+six edges. Both are listed once from undirected edges that point from the node of smaller
+(degree, id) to the other: a node then has at most sqrt(2m) edges out, so a hub's
+neighbours are never paired, and all wedges together are at most m * sqrt(2m). Each edge
+carries which of its two directions exist, so every centre is decided from the row itself.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwatch.session import stored
+
 K = "customer_id"
 EGO_COLS = ["ego_density", "ego_clustering_coeff", "ego_triadic_closure", "ego_size"]
 
 
+def ordered_edges(edges: DataFrame) -> DataFrame:
+    """``(x, y, d)`` of each undirected edge without self-loops, x before y in (degree, id);
+    d = 1 if x → y exists, 2 if y → x does, 3 if both do."""
+    e = edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
+    und = (e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"),
+                    F.when(F.col("src") < F.col("dst"), 1).otherwise(2).alias("d"))
+           .groupBy("a", "b").agg(F.expr("bit_or(d)").alias("d")))
+    deg = (und.select(F.col("a").alias("id")).unionAll(und.select(F.col("b").alias("id")))
+           .groupBy("id").agg(F.count("*").alias("g")))
+    und = (und.join(deg.withColumnsRenamed({"id": "a", "g": "_ga"}), "a").join(deg.withColumnsRenamed({"id": "b", "g": "_gb"}), "b"))
+    first = F.struct("_ga", "a") < F.struct("_gb", "b")
+    turned = F.when(F.col("d") == 3, 3).otherwise(3 - F.col("d"))
+    pos = lambda g, v: F.struct(F.col(g).alias("g"), F.col(v).alias("id"))
+    return und.select(F.when(first, pos("_ga", "a")).otherwise(pos("_gb", "b")).alias("x"),
+                      F.when(first, pos("_gb", "b")).otherwise(pos("_ga", "a")).alias("y"),
+                      F.when(first, F.col("d")).otherwise(turned).alias("d"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """``(x, y, z, xy, xz, yz)`` of each triangle, x < y < z in edge order; the pairs hold the directions."""
+    e = edges
+    xy = e.select("x", "y", F.col("d").alias("xy"))
+    xz = e.select("x", F.col("y").alias("z"), F.col("d").alias("xz"))
+    yz = e.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("d").alias("yz"))
+    return xy.join(xz, "x").filter(F.col("y") < F.col("z")).join(yz, ["y", "z"])
+
+
+def fours(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each four nodes with all six edges, from two triangles on their first two nodes."""
+    other = found.select("x", "y", F.col("z").alias("v"), F.col("xz").alias("xv"), F.col("yz").alias("yv"))
+    zv = edges.select(F.col("x").alias("z"), F.col("y").alias("v"), F.col("d").alias("zv"))
+    return found.join(other, ["x", "y"]).filter(F.col("z") < F.col("v")).join(zv, ["z", "v"])
+
+
+def _has(pair: str, bit: int) -> Column:
+    return F.col(pair).bitwiseAND(bit) != 0
+
+
+def _both(pair: str) -> Column:
+    """Directed edges of a pair."""
+    return F.when(F.col(pair) == 3, 2).otherwise(1)
+
+
 def ego_signals(edges: DataFrame, customers: DataFrame) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     succ = e.filter(F.col("src") != F.col("dst")).select(F.col("src").alias("c"), F.col("dst").alias("u"))
-    und = (e.filter(F.col("src") != F.col("dst"))
-           .select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     k = succ.groupBy("c").agg(F.count("*").alias("k"))
-    selfloop = e.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("c"), F.lit(1).alias("sl"))
-    back = (succ.join(e.select(F.col("src").alias("u"), F.col("dst").alias("c")), ["c", "u"])
+    loops = e.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("c"))
+    und = stored(ordered_edges(e), "ego")
+    back = (und.filter("d = 3").select(F.explode(F.array("x.id", "y.id")).alias("c"))
             .groupBy("c").agg(F.count("*").alias("back")))
-    # directed edges u -> v with both ends in S(c) (self-loops of members included)
-    inner_dir = (succ.join(e.select(F.col("src").alias("u"), F.col("dst").alias("v")), "u")
-                 .join(succ.select("c", F.col("u").alias("v")), ["c", "v"])
-                 .groupBy("c").agg(F.count("*").alias("inner")))
-    # undirected edges inside S(c): wedges closed at c
-    wed = (succ.select("c", F.col("u").alias("a")).join(und, "a")
-           .join(succ.select("c", F.col("u").alias("b")), ["c", "b"]))
-    t = wed.groupBy("c").agg(F.count("*").alias("T"))
-    deg_s = (wed.select("c", F.col("a").alias("x")).unionByName(wed.select("c", F.col("b").alias("x")))
-             .groupBy("c", "x").agg(F.count("*").alias("dx")))
+    # self-loops of the centre and of its members
+    own = loops.withColumn("sl", F.lit(1))
+    member_loops = succ.join(loops.withColumnRenamed("c", "u"), "u").groupBy("c").agg(F.count("*").alias("ml"))
+    tri = stored(triangles(und), "ego")
+    # a centre of a triangle: both others are its successors
+    centre = lambda c, a, b, ok, inner: F.when(ok, F.struct(F.col(f"{c}.id").alias("c"), F.col(f"{a}.id").alias("a"),
+                                                             F.col(f"{b}.id").alias("b"), inner.alias("inner")))
+    at = F.array(centre("x", "y", "z", _has("xy", 1) & _has("xz", 1), _both("yz")),
+                 centre("y", "x", "z", _has("xy", 2) & _has("yz", 1), _both("xz")),
+                 centre("z", "x", "y", _has("xz", 2) & _has("yz", 2), _both("xy")))
+    wed = tri.select(F.explode(F.array_compact(at)).alias("t")).select("t.*")
+    t = wed.groupBy("c").agg(F.count("*").alias("T"), F.sum("inner").alias("inner"))
+    deg_s = wed.select("c", F.explode(F.array("a", "b")).alias("x")).groupBy("c", "x").agg(F.count("*").alias("dx"))
     triads_s = deg_s.groupBy("c").agg(F.sum((F.col("dx") + 1) * F.col("dx") / 2).alias("tri_pairs"))
-    # triangles entirely inside S(c)
-    tri = (und.alias("p").join(und.alias("q"), F.col("p.b") == F.col("q.a"))
-           .select(F.col("p.a").alias("x"), F.col("p.b").alias("y"), F.col("q.b").alias("z"))
-           .join(und.select(F.col("a").alias("x"), F.col("b").alias("z")), ["x", "z"]))
-    tri_s = (tri.join(succ.select("c", F.col("u").alias("x")), "x")
-             .join(succ.select("c", F.col("u").alias("y")), ["c", "y"])
-             .join(succ.select("c", F.col("u").alias("z")), ["c", "z"])
-             .groupBy("c").agg(F.count("*").alias("D")))
-    j = (k.join(selfloop, "c", "left").join(back, "c", "left").join(inner_dir, "c", "left")
+    whole = lambda c, ok: F.when(ok, F.col(f"{c}.id"))
+    four = fours(tri, und).select(F.explode(F.array_compact(F.array(
+        whole("x", _has("xy", 1) & _has("xz", 1) & _has("xv", 1)), whole("y", _has("xy", 2) & _has("yz", 1) & _has("yv", 1)),
+        whole("z", _has("xz", 2) & _has("yz", 2) & _has("zv", 1)), whole("v", _has("xv", 2) & _has("yv", 2) & _has("zv", 2))))).alias("c"))
+    tri_s = four.groupBy("c").agg(F.count("*").alias("D"))
+    j = (k.join(own, "c", "left").join(back, "c", "left").join(member_loops, "c", "left")
          .join(t, "c", "left").join(triads_s, "c", "left").join(tri_s, "c", "left")
-         .fillna(0, ["sl", "back", "inner", "T", "tri_pairs", "D"]))
+         .fillna(0, ["sl", "back", "ml", "inner", "T", "tri_pairs", "D"]))
     kk = F.col("k").cast("double")
-    m = F.col("k") + F.col("sl") + F.col("back") + F.col("inner")
+    m = F.col("k") + F.col("sl") + F.col("back") + F.col("ml") + F.col("inner")
     # members with no edge inside S still have degree 1 (the centre): C(1,2) = 0
     triads = kk * (kk - 1) / 2 + F.col("tri_pairs")
     delta = F.col("T") + F.col("D")

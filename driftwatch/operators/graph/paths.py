@@ -1,8 +1,8 @@
-"""G05 layer depth (multi-source frontier BFS) and G04 circular flows.
+"""G05 layer depth (64 searches to a word of bits) and G04 circular flows.
 
 Both are iterative DataFrame jobs: each round is a join of the frontier with
-the edge table plus an anti-join on what is already known, and each round's
-state is checkpointed into the shared checkpoint folder so lineage stays short
+the edge table less what is already known, and each round's
+state is written into the shared checkpoint folder so lineage stays short
 and a lost executor only replays one round.  The loop stop is a bounded
 scalar (a row count), never data.
 """
@@ -12,103 +12,151 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions import dims
-from driftwatch.session import cut_lineage
+from driftwatch.functions.ids import consecutive_index
+from driftwatch.operators.graph.edges import graph_nodes
+from driftwatch.session import stored
 
 K = "customer_id"
 
 
-def layer_depth(edges: DataFrame, customers: DataFrame, cutoff: int = dims.GRAPH_LAYER_CUTOFF) -> DataFrame:
+#: Customers whose searches share a row, one bit each.
+WORD = 64
+#: Rows of (word, node) that a batch of searches may hold.
+BATCH_ROWS = 200_000_000
+
+
+def _reached(edges: DataFrame, start: DataFrame, cutoff: int) -> tuple[DataFrame, DataFrame]:
+    """From ``start`` (word, node, bits): what each word has reached within ``cutoff`` steps, start
+    included, as (word, node, bits); and (word, d, bits), the searches that found a new node d steps away."""
+    seen = front = stored(start, "reach")
+    found, d = [], 0
+    while d < cutoff:
+        d += 1
+        met = (front.join(edges, F.col("node") == F.col("u")).groupBy("word", F.col("v").alias("node"))
+               .agg(F.expr("bit_or(bits)").alias("_met")))
+        new = (met.join(seen.withColumnRenamed("bits", "_seen"), ["word", "node"], "left")
+               .select("word", "node", F.expr("_met & ~coalesce(_seen, 0L)").alias("bits")).filter("bits <> 0"))
+        front = stored(new, "reach")
+        found.append(front.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).withColumn("d", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = stored(seen.unionByName(front).groupBy("word", "node").agg(F.expr("bit_or(bits)").alias("bits")), "reach")
+    last = found[0]
+    for f in found[1:]:
+        last = last.unionByName(f)
+    return seen, last
+
+
+def layer_depth(edges: DataFrame, customers: DataFrame, cutoff: int = dims.GRAPH_LAYER_CUTOFF,
+                batch_rows: int = BATCH_ROWS) -> DataFrame:
     """For each customer, the largest BFS distance (≤ cutoff) along
-    out-edges and the number of nodes reached (source excluded)."""
+    out-edges and the number of nodes reached (source excluded).
+
+    64 customers search at once: a row (word, node) holds one bit for each of them that has
+    reached the node, a step is a join with the edges and a bitwise OR per (word, node), and
+    what is new is the OR without the bits already seen. Words run in batches, so that no
+    more than ``batch_rows`` rows are alive whatever the number of customers."""
+    names = stored(consecutive_index(graph_nodes(edges), ["id"], "n"), "reach")
+    of = lambda end, at: names.select(F.col("id").alias(end), F.col("n").alias(at))
     e = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
-    roots = customers.select(F.col(K).cast("string").alias("root")).distinct()
-    frontier = cut_lineage(e.join(roots, F.col("src") == F.col("root"), "left_semi")
-                           .select(F.col("src").alias("root"), F.col("dst").alias("node")))
-    levels = [frontier.withColumn("d", F.lit(1))]
-    d = 1
-    # each level is checkpointed once; "visited" is the union of the stored
-    # levels, so its lineage stays one level deep and nothing is rewritten
-    while d < cutoff and not frontier.isEmpty():
-        visited = levels[0].select("root", "node")
-        for lv in levels[1:]:
-            visited = visited.unionByName(lv.select("root", "node"))
-        nxt = (frontier.join(e, frontier.node == e.src)
-               .select("root", F.col("dst").alias("node"))
-               .filter(F.col("node") != F.col("root"))
-               .distinct()
-               .join(visited, ["root", "node"], "left_anti"))
-        d += 1
-        frontier = cut_lineage(nxt)
-        levels.append(frontier.withColumn("d", F.lit(d)))
-    visited = levels[0]
-    for lv in levels[1:]:
-        visited = visited.unionByName(lv)
-    per = visited.groupBy("root").agg(F.max("d").alias("layer_depth"), F.count("*").alias("reachable_nodes"))
-    c = customers.select(K, F.col(K).cast("string").alias("root"))
-    return c.join(per, "root", "left").select(
+    e = stored(e.join(of("src", "u"), "src").join(of("dst", "v"), "dst").select("u", "v"), "reach")
+    roots = customers.select(F.col(K).cast("string").alias("id")).distinct().join(names, "id")
+    roots = stored(consecutive_index(roots.join(e.select(F.col("u").alias("n")), "n", "left_semi"), ["n"], "r"), "reach")
+    n_nodes, n_roots = names.count(), roots.count()
+    words, batch = -(-n_roots // WORD), max(1, batch_rows // max(n_nodes, 1))
+    roots = roots.select("id", F.col("n").alias("node"), F.floor(F.col("r") / WORD).cast("long").alias("word"), (F.col("r") % WORD).cast("int").alias("bit"))
+    per = None
+    for first in range(0, words, batch):
+        own = roots.filter(F.col("word").between(first, first + batch - 1))
+        start = own.select("word", "node", F.expr("shiftleft(1L, bit)").alias("bits"))
+        seen, last = _reached(e, start, cutoff)
+        counts = seen.groupBy("word").agg(F.array(*[F.expr(f"count_if((shiftrightunsigned(bits, {b}) & 1) = 1)") for b in range(WORD)]).alias("n"))
+        depth = last.groupBy("word").agg(F.array(*[F.expr(f"max(CASE WHEN (shiftrightunsigned(bits, {b}) & 1) = 1 THEN d END)") for b in range(WORD)]).alias("d"))
+        one = own.join(counts, "word").join(depth, "word").select(
+            "id", F.get("d", F.col("bit")).alias("layer_depth"), (F.get("n", F.col("bit")) - 1).alias("reachable_nodes"))
+        per = one if per is None else per.unionByName(one)
+    c = customers.select(K, F.col(K).cast("string").alias("id"))
+    if per is None:
+        return c.select(K, F.lit(0).cast("long").alias("layer_depth"), F.lit(0).cast("long").alias("reachable_nodes"))
+    return c.join(per, "id", "left").select(
         K, F.coalesce("layer_depth", F.lit(0)).cast("long").alias("layer_depth"),
         F.coalesce("reachable_nodes", F.lit(0)).cast("long").alias("reachable_nodes"))
 
 
-def circular_flows(edges: DataFrame, customers: DataFrame,
-                   max_len: int = dims.GRAPH_MAX_CYCLE_LENGTH,
-                   max_cycles: int = dims.GRAPH_MAX_CYCLES_PER_NODE) -> DataFrame:
-    """Simple directed cycles of length ≤ ``max_len`` through each customer.
-
-    Canonical form (our definition, since the reference's choice depends on
-    iteration order): a cycle is enumerated once, rooted at its least node id,
-    by extending simple paths ``root → … `` whose inner nodes are all greater
-    than the root; a path that returns to the root closes a cycle.  Nodes that
-    cannot lie on any cycle (no in- or no out-edge, repeatedly) are trimmed
-    first.  Per node the cycles are ordered by (length, path text) and the
-    first ``max_cycles`` are counted: has / count / longest / total weight
-    (each edge once per counted cycle).  Self-loops are cycles of length 1.
-    """
-    e = edges.select("src", "dst", "weight")
-    # trim to nodes with both an in- and an out-edge until stable; every
-    # round is checkpointed and counted from the stored copy
-    core = cut_lineage(e)
+def _core(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have both an in- and an out-edge, repeatedly: no others lie on a cycle."""
+    core = stored(edges.select("src", "dst", "weight"), "cycles")
     prev = core.count()
     while prev > 0:
-        outs = core.select(F.col("src").alias("id")).distinct()
-        ins = core.select(F.col("dst").alias("id")).distinct()
-        keep = outs.join(ins, "id")
-        core = cut_lineage(core.join(keep.withColumnRenamed("id", "src"), "src", "left_semi")
-                           .join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        keep = core.select(F.col("src").alias("id")).distinct().join(core.select(F.col("dst").alias("id")).distinct(), "id")
+        core = stored(core.join(keep.withColumnRenamed("id", "src"), "src", "left_semi")
+                      .join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"), "cycles")
         n = core.count()
         if n == prev:
             break
         prev = n
-    loops = core.filter(F.col("src") == F.col("dst")).select(
-        F.col("src").alias("root"), F.array(F.col("src")).alias("path"), F.col("weight").alias("w"))
+    return core
+
+
+def _closed(out: DataFrame, back: DataFrame) -> DataFrame:
+    """Cycles through ``v`` as (v, key, w): a path out of v meets a path back to it, and they share only
+    the node where they meet. The key names the nodes in order from the least one on."""
+    both = out.join(back.withColumnsRenamed({"nodes": "_nodes", "w": "_w"}), ["v", "meet"])
+    both = both.filter(F.size(F.array_intersect("nodes", "_nodes")) == 1)
+    path = F.concat(F.array("v"), F.col("nodes"), F.slice("_nodes", F.lit(2), F.size("_nodes")))
+    both = both.select("v", path.alias("p"), (F.col("w") + F.col("_w")).alias("w"))
+    at = F.array_position("p", F.array_min("p")).cast("int")
+    turned = F.concat(F.slice("p", at, F.size("p")), F.slice("p", F.lit(1), at - 1))
+    return both.select("v", F.concat_ws(">", turned).alias("key"), "w")
+
+
+def circular_flows(edges: DataFrame, customers: DataFrame,
+                   max_len: int = dims.GRAPH_MAX_CYCLE_LENGTH,
+                   max_cycles: int = dims.GRAPH_MAX_CYCLES_PER_NODE) -> DataFrame:
+    """Simple directed cycles of length ≤ ``max_len`` through each customer.
+
+    Per node the cycles are ordered by (length, path text from the least node on) and the
+    first ``max_cycles`` are counted (our definition, since the reference's choice depends
+    on iteration order): has / count / longest / total weight (each edge once per counted
+    cycle).  Self-loops are cycles of length 1.
+
+    Lengths are searched one after the other, and only for nodes that have fewer than
+    ``max_cycles`` shorter cycles, so a dense graph is done after the first few lengths.
+    A cycle of length L through v is a path of ceil(L/2) edges out of v and one of the other
+    edges back to v that meet: no path is longer than half of ``max_len``.  Nodes that can't
+    lie on any cycle are trimmed first."""
+    core = _core(edges)
     step = core.filter(F.col("src") != F.col("dst"))
-    paths = (step.filter(F.col("dst") > F.col("src"))
-             .select(F.col("src").alias("root"), F.array("src", "dst").alias("path"),
-                     F.col("dst").alias("last"), F.col("weight").alias("w")))
-    paths = cut_lineage(paths)
-    cycles = loops
-    length = 2
-    while length <= max_len and not paths.isEmpty():
-        ext = paths.join(step, paths["last"] == step["src"])
-        closed = (ext.filter(F.col("dst") == F.col("root"))
-                  .select("root", "path", (F.col("w") + F.col("weight")).alias("w")))
-        cycles = cycles.unionByName(closed)
-        if length == max_len:
+    ids = customers.select(F.col(K).cast("string").alias("v")).distinct()
+    loops = core.filter(F.col("src") == F.col("dst")).select(F.col("src").alias("v"), F.col("src").alias("key"), F.col("weight").alias("w"))
+    have = loops.join(ids, "v", "left_semi").withColumn("len", F.lit(1))
+    need = ids.join(step.select(F.col("src").alias("v")), "v", "left_semi").join(loops.select("v", F.lit(1).alias("_l")), "v", "left")
+    need = stored(need.select("v", (F.lit(max_cycles) - F.coalesce("_l", F.lit(0))).alias("more")).filter(F.col("more") > 0), "cycles")
+    out = step.join(need, step["src"] == need["v"]).select("v", F.col("dst").alias("meet"), F.array("dst").alias("nodes"), F.col("weight").alias("w"))
+    back = step.join(need, step["dst"] == need["v"]).select("v", F.col("src").alias("meet"), F.array("src").alias("nodes"), F.col("weight").alias("w"))
+    out, back = stored(out, "cycles"), stored(back, "cycles")
+    for length in range(2, max_len + 1):
+        if length > 2:  # one more edge: out of v for odd lengths, back to v for even ones
+            side, here, there = (out, "src", "dst") if length % 2 else (back, "dst", "src")
+            longer = (side.join(need.select("v"), "v", "left_semi").join(step, F.col("meet") == F.col(here))
+                      .filter((F.col(there) != F.col("v")) & ~F.array_contains("nodes", F.col(there))))
+            nodes = F.concat("nodes", F.array(there)) if length % 2 else F.concat(F.array(there), F.col("nodes"))
+            longer = stored(longer.select("v", F.col(there).alias("meet"), nodes.alias("nodes"), (F.col("w") + F.col("weight")).alias("w")), "cycles")
+            out, back = (longer, back) if length % 2 else (out, longer)
+        found = _closed(out, back).join(need, "v")
+        rank = F.row_number().over(Window.partitionBy("v").orderBy("key"))
+        # the limit of every node is at most max_cycles, which Spark applies before rows are dealt
+        found = found.withColumn("_r", rank).filter(F.col("_r") <= max_cycles).filter(F.col("_r") <= F.col("more"))
+        found = stored(found.select("v", "key", "w", F.lit(length).alias("len")), "cycles")
+        have = have.unionByName(found)
+        got = found.groupBy("v").agg(F.count("*").alias("_got"))
+        need = stored(need.join(got, "v", "left").select("v", (F.col("more") - F.coalesce("_got", F.lit(0))).alias("more"))
+                      .filter(F.col("more") > 0), "cycles")
+        if need.isEmpty():
             break
-        paths = cut_lineage(
-            ext.filter((F.col("dst") > F.col("root")) & ~F.array_contains(F.col("path"), F.col("dst")))
-            .select("root", F.concat("path", F.array("dst")).alias("path"),
-                    F.col("dst").alias("last"), (F.col("w") + F.col("weight")).alias("w")))
-        length += 1
-    cycles = cut_lineage(cycles.withColumn("len", F.size("path"))
-                         .withColumn("key", F.concat_ws(">", "path")))
-    members = cycles.select(F.explode("path").alias("id"), "len", "key", "w")
-    w = Window.partitionBy("id").orderBy("len", "key")
-    top = members.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_cycles)
-    per = top.groupBy("id").agg(F.count("*").alias("num_cycles"), F.max("len").alias("max_cycle_length"),
+    per = have.groupBy("v").agg(F.count("*").alias("num_cycles"), F.max("len").alias("max_cycle_length"),
                                 F.sum("w").alias("cycle_total_amount"))
-    c = customers.select(K, F.col(K).cast("string").alias("id"))
-    j = c.join(per, "id", "left")
+    j = customers.select(K, F.col(K).cast("string").alias("v")).join(per, "v", "left")
     return j.select(
         K,
         F.col("num_cycles").isNotNull().alias("has_circular_flow"),

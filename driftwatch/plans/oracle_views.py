@@ -111,7 +111,7 @@ customers_v AS (
 ),
 account_txns AS (
   SELECT t.* REPLACE (CAST(t.src_partkey % (SELECT count(*) FROM customer) AS VARCHAR) AS counterparty)
-  FROM tx_orders t WHERE t.src_quantity >= 49
+  FROM tx_orders t
 ),
 supplier_txns AS (
   SELECT t.* REPLACE ('s' || CAST(t.src_suppkey AS VARCHAR) AS counterparty)

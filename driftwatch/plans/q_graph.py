@@ -14,8 +14,8 @@ from driftwatch.plans.stages import view as V
 from driftwatch.sources import tables as TB
 
 
-def _acct(spark, sf, whole=False):
-    return GE.build_edges(TB.account_txns(spark, sf, V(spark, sf, "tx_orders"), whole))
+def _acct(spark, sf):
+    return GE.build_edges(TB.account_txns(spark, sf, V(spark, sf, "tx_orders")))
 
 
 def q_g01_build_edges(spark, sf):
@@ -132,13 +132,15 @@ def depth_cte(p: str, cutoff: int = 10) -> str:
     return f"""
 {p}e2 AS (SELECT DISTINCT src, dst FROM {p}edges WHERE src <> dst),
 {p}bfs AS (
-  WITH RECURSIVE r(root, node, d) AS (
+  WITH RECURSIVE r(root, node, d) USING KEY (root, node) AS (
     SELECT src, dst, 1 FROM {p}e2 WHERE src IN (SELECT CAST(customer_id AS VARCHAR) FROM customers_v)
     UNION
-    SELECT r.root, e.dst, r.d + 1 FROM r JOIN {p}e2 e ON r.node = e.src
+    SELECT r.root, e.dst, min(r.d) + 1 FROM r JOIN {p}e2 e ON r.node = e.src
     WHERE r.d < {cutoff} AND e.dst <> r.root
+      AND NOT EXISTS (SELECT 1 FROM recurring.r s WHERE s.root = r.root AND s.node = e.dst)
+    GROUP BY 1, 2
   )
-  SELECT root, node, min(d) AS d FROM r GROUP BY 1, 2
+  SELECT root, node, d FROM r
 ),
 {p}dper AS (SELECT root, max(d) AS layer_depth, count(*) AS reachable_nodes FROM {p}bfs GROUP BY 1),
 {p}depth AS (
@@ -396,7 +398,7 @@ from driftwatch.operators.graph import community as GM  # noqa: E402
 
 def q_g07_pagerank(spark, sf):
     prep(spark)
-    return rounded(GC.pagerank(_acct(spark, sf, whole=True)))
+    return rounded(GC.pagerank(_acct(spark, sf)))
 
 
 def q_g08_betweenness(spark, sf):
@@ -415,7 +417,7 @@ def account_communities(spark, sf):
     from driftwatch.plans.stages import stage
 
     def build():
-        lab, q = GM.communities(_acct(spark, sf, whole=True))
+        lab, q = GM.communities(_acct(spark, sf))
         return attach_scalars(lab, q)
     return stage(spark, sf, "communities", build)
 
@@ -427,7 +429,7 @@ def q_g10_communities(spark, sf):
 
 def q_g12_community_signals(spark, sf):
     prep(spark)
-    e = _acct(spark, sf, whole=True)
+    e = _acct(spark, sf)
     c = V(spark, sf, "customers_v")
     risky = GM.resolve_risk_labels(c.withColumn("is_sar", F.col("is_suspicious")), e)
     return rounded(GM.community_signals(e, c, risky, labels=account_communities(spark, sf).select("id", "community")))
@@ -470,78 +472,6 @@ def q_g18_all_graph_signals(spark, sf):
 QUERIES["g18_all_graph_signals"] = q_g18_all_graph_signals
 
 
-def cycles_cte(p: str, max_len: int = 8, max_cycles: int = 20) -> str:
-    """needs {p}edges; every simple cycle of length ≤ max_len rooted at its
-    least node (recursive CTE); ends in {p}circ."""
-    return f"""
-{p}ce AS (SELECT src, dst, weight FROM {p}edges),
-{p}paths AS (
-  WITH RECURSIVE pp(root, path, last, w) AS (
-    SELECT src, [src, dst], dst, weight FROM {p}ce WHERE dst > src
-    UNION ALL
-    SELECT pp.root, list_append(pp.path, e.dst), e.dst, pp.w + e.weight
-    FROM pp JOIN {p}ce e ON e.src = pp.last
-    WHERE e.dst > pp.root AND NOT list_contains(pp.path, e.dst) AND len(pp.path) < {max_len}
-  ) SELECT * FROM pp),
-{p}cyc AS (
-  SELECT [src] AS path, weight AS w FROM {p}ce WHERE src = dst
-  UNION ALL
-  SELECT pa.path, pa.w + e.weight FROM {p}paths pa JOIN {p}ce e ON e.src = pa.last AND e.dst = pa.root
-),
-{p}mem AS (SELECT unnest(path) AS id, len(path) AS ln, array_to_string(path, '>') AS k, w FROM {p}cyc),
-{p}top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ln, k) AS r FROM {p}mem),
-{p}cper AS (SELECT id, count(*) AS num_cycles, max(ln) AS mx, sum(w) AS tot FROM {p}top WHERE r <= {max_cycles} GROUP BY 1),
-{p}circ AS (
-  SELECT c.customer_id, (cp.num_cycles IS NOT NULL) AS has_circular_flow,
-         CAST(coalesce(cp.num_cycles, 0) AS BIGINT) AS num_cycles,
-         CAST(coalesce(cp.mx, 0) AS BIGINT) AS max_cycle_length,
-         coalesce(cp.tot, 0.0) AS cycle_total_amount
-  FROM customers_v c LEFT JOIN {p}cper cp ON CAST(c.customer_id AS VARCHAR) = cp.id
-)"""
-
-
-ORACLES["g04_circular_flows"] = with_views("," + edges_cte("account_txns", "g_") + "," + cycles_cte("g_") + """
-SELECT customer_id, has_circular_flow, num_cycles, max_cycle_length, round(cycle_total_amount, 6) AS cycle_total_amount FROM g_circ
-""")
-
-
-# ------------------------------------------------------------ account graph of all lines
-def q_g02_nodes_all(spark, sf):
-    prep(spark)
-    return GE.build_nodes(_acct(spark, sf, whole=True), V(spark, sf, "customers_v"))
-
-
-def q_g03_degrees_flows_all(spark, sf):
-    prep(spark)
-    return rounded(GF.degrees_flows(_acct(spark, sf, whole=True), V(spark, sf, "customers_v")))
-
-
-def q_g14_structural_risk_all(spark, sf):
-    prep(spark)
-    return GF.structurally_risky(_acct(spark, sf, whole=True))
-
-
-QUERIES.update({
-    "g02_nodes_all": q_g02_nodes_all,
-    "g03_degrees_flows_all": q_g03_degrees_flows_all,
-    "g14_structural_risk_all": q_g14_structural_risk_all,
-})
-
-_ALL = """,
-account_all AS (
-  SELECT t.* REPLACE (CAST(t.src_partkey % (SELECT count(*) FROM customer) AS VARCHAR) AS counterparty)
-  FROM tx_orders t
-),"""
-ORACLES.update({
-    "g02_nodes_all": with_views(_ALL + edges_cte("account_all", "g_") + """,
-ends AS (SELECT src AS id, 2 AS t FROM g_edges UNION ALL SELECT dst, 1 FROM g_edges
-         UNION ALL SELECT CAST(customer_id AS VARCHAR), 2 FROM customers_v)
-SELECT id, CASE WHEN max(t) = 2 THEN 'customer' ELSE 'counterparty' END AS node_type FROM ends GROUP BY id
-"""),
-    "g03_degrees_flows_all": with_views(_ALL + edges_cte("account_all", "g_") + "," + flows_cte("g_")
-                                        + f"\nSELECT {FLOW_OUT} FROM g_flows"),
-    "g14_structural_risk_all": with_views(_ALL + edges_cte("account_all", "g_") + "," + flows_cte("g_") + """
-SELECT id, ((in_degree >= 4 AND out_degree <= 2) OR (out_degree >= 4 AND in_degree <= 2) OR in_degree + out_degree >= 12) AS is_risky
-FROM g_deg
-"""),
-})
+# keys from when the others read a part of the lines
+for _key in ("g02_nodes", "g03_degrees_flows", "g14_structural_risk"):
+    QUERIES[_key + "_all"], ORACLES[_key + "_all"] = QUERIES[_key], ORACLES[_key]

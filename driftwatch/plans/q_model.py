@@ -113,16 +113,14 @@ def q_m02_sudden_drop(spark, sf):
 
 
 def q_m04_streaming_monitor(spark, sf):
-    """M02 as a stateful stream over the scored windows written as
-    Parquet files (one file per trigger)."""
-    import hashlib
+    """M02 as a stateful stream over the scored windows, written as Parquet files in no
+    order (one file per trigger)."""
+    import uuid
     from driftwatch.session import checkpoint_dir
     from driftwatch.streaming import monitor as MS
     prep(spark)
-    base = (f"{checkpoint_dir(spark).rstrip('/')}/streams/{spark.sparkContext.applicationId}/"
-            f"{hashlib.md5(sf.encode()).hexdigest()[:12]}")
-    MS.write_scored_windows(ST.bsi_timeline(V(spark, sf, "tx_events"), 6, 3, 3), f"{base}/in")
-    out = MS.run_to_completion(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    out = MS.replay(spark, ST.bsi_timeline(V(spark, sf, "tx_events"), 6, 3, 3), base)
     return rounded(out)
 
 
@@ -410,3 +408,9 @@ SELECT customer_id, window_start_us, round(bsi_score, 6) AS bsi_score, round(pre
   sudden AS sudden_drop_detected, monitoring_level IN ('immediate', 'intensive') OR sudden AS escalation_triggered
 FROM lv3
 """)
+
+# the stream gives M02's decisions without their texts
+ORACLES["m04_streaming_monitor"] = f"""
+SELECT customer_id, window_start_us, bsi_score, previous_bsi, monitoring_level, sudden_drop_detected, escalation_triggered
+FROM ({ORACLES["m02_sudden_drop"]})
+"""

@@ -167,12 +167,10 @@ def customers_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def account_txns(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None, whole: bool = False) -> DataFrame:
-    """Account-to-account transfers: customer -> customer ``l_partkey % n_customers``
-    for lines with ``l_quantity >= 49``, or for all lines with ``whole``.  The
+def account_txns(spark: SparkSession, sf_dir: str, tx: DataFrame | None = None) -> DataFrame:
+    """Account-to-account transfers: customer -> customer ``l_partkey % n_customers``.  The
     modulus is a one-row aggregate joined in (a scalar, not a driver round trip)."""
     tx = tx if tx is not None else tx_orders(spark, sf_dir)
-    tx = tx if whole else tx.filter(F.col("src_quantity") >= 49)
     n = read_table(spark, sf_dir, "customer").agg(F.count("*").alias("_ncust"))
     return (attach_scalars(tx, n)
             .withColumn("counterparty", (F.col("src_partkey") % F.col("_ncust")).cast("string"))
