@@ -41,6 +41,8 @@ ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n_tokens", "<u8")])
 NO_ID = -(1 << 63)
 #: Bytes of text to one record file.
 FILE_BYTES = 16 << 20
+#: Tasks that read; beyond it a task reads several files, one after the other.
+MOST_TASKS = 20_000
 #: Rows to one Arrow batch that is given back.
 ROWS_OUT = 8192
 
@@ -130,6 +132,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int, id_col: st
     A null or empty text becomes the end id alone; null ids come first; rows
     with equal ids follow each other by their text; an empty table writes no file.
     """
+    from tokenizers import Tokenizer
+    if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end_id + 1) > 1 << 8 * width:
+        raise ValueError(f"ids of this vocabulary do not fit {width} bytes")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0  # one number
     parts = int(size // file_bytes) + 1
     kind = f"<u{width}"
@@ -175,7 +180,8 @@ def read(manifest: DataFrame, folder: str, width: int = 2) -> DataFrame:
     Every checksum is verified, and every frame against its index entry."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    files = files.repartition("part")
+    # a number of its own: the manifest is so small that one chosen by the planner is one task
+    files = files.repartition(min(2 * manifest.count() or 1, MOST_TASKS), "part")
     kind = f"<u{width}"
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -101,6 +101,16 @@ def test_interleaving(docs, corpus, cell_rows):
     assert place(out) == place(again)
 
 
+def test_ids_must_fit_and_files_are_read_apart(docs, spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with pytest.raises(ValueError):
+        records.write(docs, str(tmp_path / "a"), path, 2, width=1)
+    with pytest.raises(ValueError):
+        records.write(docs, str(tmp_path / "a"), path, 1 << 16, width=2)
+    manifest = records.write(docs, str(tmp_path / "b"), path, 2, file_bytes=4000)
+    assert records.read(manifest, str(tmp_path / "b")).rdd.getNumPartitions() > 10
+
+
 def test_packing(docs, corpus):
     capacity = 64
     out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, capacity, with_ids=True, group_items=40).collect()
