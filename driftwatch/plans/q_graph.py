@@ -407,6 +407,12 @@ def q_g08_betweenness(spark, sf):
     return rounded(GC.betweenness(GE.build_edges(V(spark, sf, "tx_events"))))
 
 
+def q_g08_betweenness_accounts(spark, sf):
+    """G08 from 300 pivots on the account graph of all lines."""
+    prep(spark)
+    return rounded(GC.betweenness(_acct(spark, sf)))
+
+
 def q_g09_hits(spark, sf):
     prep(spark)
     return rounded(GC.hits(GE.build_edges(V(spark, sf, "tx_orders"))))
@@ -446,6 +452,7 @@ def q_g13_risk_labels(spark, sf):
 QUERIES.update({
     "g07_pagerank": q_g07_pagerank,
     "g08_betweenness": q_g08_betweenness,
+    "g08_betweenness_accounts": q_g08_betweenness_accounts,
     "g09_hits": q_g09_hits,
     "g10_communities": q_g10_communities,
     "g12_community_signals": q_g12_community_signals,
