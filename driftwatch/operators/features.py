@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,9 +174,25 @@ def sanitize(df: DataFrame, exclude=(K, "typology")) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str = "is_suspicious", test_share: float = 0.2,
                      seed: int = 42) -> DataFrame:
-    """deterministic split; a row is in the test part when the md5 of
-    (id, seed) falls in the first ``test_share`` of the hash range.  The hash
-    is independent of the label, so every class is split in the same share
-    (in expectation) without ranking a whole class in one task."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(K).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
-    return df.withColumn("is_test", (h % 1000000) < int(round(test_share * 1000000)))
+    """deterministic split; of each class's n rows the floor(``test_share`` * n) with the smallest
+    (md5 of (id, seed), id) are the test part.
+
+    The last test row of a class is found without ranking the class: a histogram over the
+    first 20 bits of the hash names the bin it lies in, and only that bin's rows (a
+    millionth) are ranked. One row per class, the bin and that row, goes back to all rows."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(K).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+    d = df.withColumn("_h", h).withColumn("_bin", F.shiftright("_h", 40))
+    whole = Window.partitionBy(label)
+    bins = d.groupBy(label, "_bin").agg(F.count("*").alias("_c"))
+    bins = bins.select(label, "_bin", "_c", F.sum("_c").over(whole.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
+                       F.floor(F.lit(test_share) * F.sum("_c").over(whole)).alias("_k"))
+    cut = bins.groupBy(label).agg(F.min(F.when(F.col("_cum") > F.col("_k"), F.struct("_bin", (F.col("_k") - F.col("_cum") + F.col("_c")).alias("r")))).alias("_at"))
+    cut = cut.select(F.col(label).alias("_class"), F.col("_at._bin").alias("_b"), F.col("_at.r").alias("_r"))
+    same = lambda: F.col(label).eqNullSafe(F.col("_class"))
+    edge = d.join(F.broadcast(cut), same()).filter(F.col("_bin") == F.col("_b"))  # one row per class is broadcast
+    edge = edge.withColumn("_rank", F.row_number().over(Window.partitionBy("_class").orderBy("_h", K)))
+    last = edge.filter(F.col("_rank") == F.col("_r")).select(F.col("_class").alias("_of"), F.struct("_h", K).alias("_last"))
+    cut = cut.join(last, F.col("_class").eqNullSafe(F.col("_of")), "left").drop("_of")
+    # without a bin beyond the test part the class is all test
+    test = F.col("_b").isNull() | (F.col("_bin") < F.col("_b")) | F.coalesce((F.col("_bin") == F.col("_b")) & (F.struct("_h", K) <= F.col("_last")), F.lit(False))
+    return d.join(F.broadcast(cut), same()).withColumn("is_test", test).select(*df.columns, "is_test")

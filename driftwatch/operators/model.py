@@ -19,7 +19,7 @@ from driftwatch.functions.exprs import attach_scalars
 from pyspark.sql import types as T
 
 from driftwatch.functions import dims
-from driftwatch.functions.quantile import exact_quantile
+from driftwatch.functions.quantile import exact_quantiles
 from driftwatch.operators.features import stratified_split
 
 K = "customer_id"
@@ -84,11 +84,7 @@ def feature_importance(model: PipelineModel, cols: list[str], top: int = 10) ->
 
 def population_medians(matrix: DataFrame, features: list[str]) -> DataFrame:
     """One row of exact medians (linear interpolation, as numpy)."""
-    out = None
-    for f in features:
-        q = exact_quantile(matrix, f, 0.5, out=f)
-        out = q if out is None else out.crossJoin(q)
-    return out
+    return exact_quantiles(matrix, features, 0.5)
 
 
 def counterfactuals(model: PipelineModel, matrix: DataFrame, cols: list[str],

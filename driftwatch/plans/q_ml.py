@@ -2,8 +2,8 @@
 
 The model is trained once per Spark application and data folder (the
 reference trains once per pipeline run); queries read it from that stage.
-No DuckDB oracle: these are checked by property tests (AUC floor, score
-range, counterfactual consistency) and rows-only by the driver.
+The split and the medians have DuckDB oracles; what follows the trained model is checked by
+property tests (AUC floor, score range, counterfactual consistency) and rows-only by the driver.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from driftwatch.operators import evaluate as EV
 from driftwatch.operators import features as FT
 from driftwatch.operators import model as M
 from driftwatch.plans.common import prep, rounded
+from driftwatch.plans.oracle_views import with_views
 from driftwatch.plans.q_alerts import _alerts
 from driftwatch.plans.q_model import behavioural_stage, bsi_stage, network_stage
 from driftwatch.plans.stages import stage
@@ -46,6 +47,22 @@ def q_f06_split(spark, sf):
     return data.groupBy("is_suspicious", "is_test").agg(F.count("*").alias("rows"))
 
 
+def q_f06_split_rows(spark, sf):
+    """F06 on every customer."""
+    prep(spark)
+    c = V(spark, sf, "customers_v").select("customer_id", "is_suspicious")
+    return FT.stratified_split(c)
+
+
+def q_f14_population_medians(spark, sf):
+    """The scenario values of F14: exact medians of account and transfer figures per customer."""
+    prep(spark)
+    t = V(spark, sf, "tx_orders").groupBy("customer_id").agg(
+        F.count("*").alias("txn_count"), F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"),
+        F.min("ts_us").cast("double").alias("first_us"), F.max("ts_us").cast("double").alias("last_us"))
+    return M.population_medians(t, ["txn_count", "min_amount", "max_amount", "first_us", "last_us"])
+
+
 def q_f07_train_classifier(spark, sf):
     prep(spark)
     model, cols, data = trained(spark, sf)
@@ -110,6 +127,8 @@ def q_f17_counterfactual_text(spark, sf):
 
 QUERIES = {
     "f06_split": q_f06_split,
+    "f06_split_rows": q_f06_split_rows,
+    "f14_population_medians": q_f14_population_medians,
     "f07_train_classifier": q_f07_train_classifier,
     "f08_risk_scores": q_f08_risk_scores,
     "f09_enriched_alerts": q_f09_enriched_alerts,
@@ -121,7 +140,27 @@ QUERIES = {
     "f15_counterfactual_summary": q_f15_counterfactual_summary,
     "f17_counterfactual_text": q_f17_counterfactual_text,
 }
-ORACLES: dict = {}
+
+_SPLIT = """
+SELECT customer_id, is_suspicious,
+  row_number() OVER (PARTITION BY is_suspicious ORDER BY h, customer_id)
+    <= floor(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY is_suspicious)) AS is_test
+FROM (SELECT customer_id, is_suspicious, CAST('0x' || substr(md5(CAST(customer_id AS VARCHAR) || '|42'), 1, 15) AS BIGINT) AS h
+      FROM customers_v)
+"""
+ORACLES: dict = {
+    "f06_split_rows": with_views(_SPLIT),
+    "f06_split": with_views(f"""
+SELECT CAST(is_suspicious AS INTEGER) AS is_suspicious, is_test, count(*) AS "rows" FROM ({_SPLIT.replace(
+    "FROM customers_v", "FROM customers_v WHERE customer_id IN (SELECT customer_id FROM tx_orders)")}) GROUP BY 1, 2
+"""),
+    "f14_population_medians": with_views("""
+SELECT quantile_cont(CAST(n AS DOUBLE), 0.5) AS txn_count, quantile_cont(mn, 0.5) AS min_amount, quantile_cont(mx, 0.5) AS max_amount,
+  quantile_cont(f, 0.5) AS first_us, quantile_cont(l, 0.5) AS last_us
+FROM (SELECT customer_id, count(*) AS n, min(amount) AS mn, max(amount) AS mx, CAST(min(ts_us) AS DOUBLE) AS f, CAST(max(ts_us) AS DOUBLE) AS l
+      FROM tx_orders GROUP BY customer_id)
+"""),
+}
 
 
 # ------------------------------------------------------------ F11–F13, F16

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.cumulative import global_running_sum
 from driftwatch.functions.ids import consecutive_index
-from driftwatch.functions.quantile import exact_quantile
+from driftwatch.functions.quantile import exact_quantile, exact_quantiles
+from driftwatch.operators.features import stratified_split
 from driftwatch.sources import loaders as LD
 
 
@@ -20,6 +21,35 @@ def test_exact_quantile_matches_numpy(spark, p):
     assert got == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
 
 
+@pytest.mark.parametrize("p", [0.0, 0.2, 0.5, 1.0])
+def test_exact_quantiles_of_many_columns(spark, p):
+    rnd = random.Random(4)
+    cols = [f"c{i}" for i in range(24)]
+    rows = [tuple(rnd.choice([None, float(rnd.randrange(5)), rnd.random() * 10 ** (i % 7), -3.5]) for i in range(22)) + (None, 8.25)
+            for _ in range(900)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5)
+    got = exact_quantiles(df, cols, p, accuracy=500).first()
+    for i, c in enumerate(cols):
+        values = [r[i] for r in rows if r[i] is not None]
+        want = float(np.quantile(values, p)) if values else None
+        assert got[c] == (pytest.approx(want, rel=1e-12, abs=1e-12) if values else None)
+    assert exact_quantiles(df.limit(0), cols[:2], p).first()["c0"] is None
+
+
+def test_stratified_split_is_exact_per_class(spark):
+    import hashlib
+    rows = [(i, "x" if i % 11 == 0 else "y" if i % 2 else None) for i in range(1003)]
+    df = spark.createDataFrame(rows, "customer_id long, cls string").repartition(6)
+    for share in (0.2, 0.0, 1.0, 0.37):
+        out = stratified_split(df, "cls", share).collect()
+        assert len(out) == len(rows)
+        want = set()
+        for c in ("x", "y", None):
+            ids = sorted((int(hashlib.md5(f"{i}|42".encode()).hexdigest()[:15], 16), i) for i, k in rows if k == c)
+            want.update(i for _, i in ids[:int(share * len(ids))])
+        assert {r["customer_id"] for r in out if r["is_test"]} == want
+
+
 def test_consecutive_index_after_shuffle(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k")).repartition(7)
     idx = consecutive_index(df, ["k"], "i")
