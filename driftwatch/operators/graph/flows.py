@@ -60,11 +60,8 @@ def flow_velocity(txns: DataFrame, customers: DataFrame | None = None) -> DataFr
     """For each deposit the first strictly later withdrawal of the same
     customer (unbounded look-ahead, skew-safe kernel); mean retention hours,
     count under 72 h, velocity 1/(mean+1).  Defaults 0 / 999999 / 0."""
-    t = txns.select(K, "ts_us", "transaction_type", "transaction_id")
-    # probe ids must be unique per (entity, row): a row may belong to several
-    # entities (e.g. overlapping timeline windows)
-    dep = t.filter(F.col("transaction_type") == "deposit").select(
-        K, "ts_us", F.concat_ws("|", F.col(K).cast("string"), F.col("transaction_id")).alias("_probe_id"))
+    t = txns.select(K, "ts_us", "transaction_type")
+    dep = t.filter(F.col("transaction_type") == "deposit").select(K, "ts_us")
     wd = t.filter(F.col("transaction_type") == "withdrawal").select(K, "ts_us")
     m = next_event_after(wd, dep, K)
     hours = (F.col("next_us") - F.col("ts_us")) / F.lit(float(US_PER_HOUR))

@@ -28,8 +28,7 @@ def link_fiat_to_crypto(txns: DataFrame, lookback_days: int = dims.LINK_WINDOW_D
     [t − lookback, t) (ties: highest transaction id), tiered by
     ``|fiat − purchase| / max(purchase, 1)`` (USD)."""
     p, d = purchases_and_deposits(txns)
-    probes = p.select(K, "ts_us", F.col("transaction_id").alias("_probe_id"),
-                      F.col("transaction_id").alias("crypto_txn_id"),
+    probes = p.select(K, "ts_us", F.col("transaction_id").alias("crypto_txn_id"),
                       F.timestamp_micros("ts_us").cast("date").cast("string").alias("crypto_date"),
                       F.col("crypto_asset"), F.col("amount").alias("crypto_amount"),
                       _usd().alias("_pusd"), F.col("location").alias("exchange"))

@@ -40,21 +40,20 @@ def next_event_after(events: DataFrame, probes: DataFrame, key: str, ts: str = "
     probe's, same key (unbounded look-ahead).  Union + running min over a
     descending frame inside each (key, bucket), then a bucket-level carry."""
     b = "_bkt"
-    pid_type = probes.schema["_probe_id"].dataType
-    ev = events.select(key, F.col(ts).alias("_t"), F.lit(1).alias("_is_ev"), F.lit(None).cast(pid_type).alias("_pid"))
-    pr = probes.select(key, F.col(ts).alias("_t"), F.lit(0).alias("_is_ev"), F.col("_probe_id").alias("_pid"))
-    u = ev.unionByName(pr).withColumn(b, F.floor(F.col("_t") / F.lit(bucket_us)).cast("long"))
+    ev = events.select(key, F.col(ts).alias("_t"), F.lit(True).alias("_is_ev"))
+    pr = probes.select(key, F.col(ts).alias("_t"), F.lit(False).alias("_is_ev"), F.struct(*probes.columns).alias("_probe"))
+    u = ev.unionByName(pr, allowMissingColumns=True).withColumn(b, F.floor(F.col("_t") / F.lit(bucket_us)).cast("long"))
     w = (Window.partitionBy(key, b).orderBy(F.col("_t").desc())
          .rangeBetween(Window.unboundedPreceding, -1))
-    u = u.withColumn("_nx_in", F.min(F.when(F.col("_is_ev") == 1, F.col("_t"))).over(w))
+    event = F.when(F.col("_is_ev"), F.col("_t"))
     # every bucket holding a probe or an event gets a carry row
-    per_bucket = u.groupBy(key, b).agg(F.min(F.when(F.col("_is_ev") == 1, F.col("_t"))).alias("_bmin"))
+    per_bucket = u.groupBy(key, b).agg(F.min(event).alias("_bmin"))
     w_b = Window.partitionBy(key).orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.select(key, b, F.min("_bmin").over(w_b).alias("_carry"))
-    res = (u.filter(F.col("_is_ev") == 0)
-           .join(carry, [key, b], "left")
-           .select(F.col("_pid").alias("_probe_id"), F.coalesce("_nx_in", "_carry").alias(out)))
-    return probes.join(res, "_probe_id", "left")
+    u = u.withColumn("_nx_in", F.min(event).over(w))
+    # the probe's own columns travel with it, so nothing is joined back to it
+    return (u.filter(~F.col("_is_ev")).join(carry, [key, b], "left")
+            .select("_probe.*", F.coalesce("_nx_in", "_carry").alias(out)))
 
 
 def latest_before_within(events: DataFrame, probes: DataFrame, key: str, span_us: int,
@@ -67,27 +66,22 @@ def latest_before_within(events: DataFrame, probes: DataFrame, key: str, span_us
 
     ``events`` must carry ``key, ts, tiebreak`` plus any payload columns; the
     output adds ``prefix + column`` for each of them (NULL when unmatched).
-    ``probes`` must carry ``key, ts`` and a unique ``_probe_id``.
+    ``probes`` must carry ``key, ts``; all their columns come back.
     """
     b = "_bkt"
     payload = [c for c in events.columns if c != key]
     ev = events.select(key, F.col(ts).alias("_t"),
                        F.struct(F.col(ts).alias("_t0"), F.col(tiebreak).alias("_tb"),
-                                *[F.col(c) for c in payload]).alias("_ev"),
-                       F.lit(None).cast(probes.schema["_probe_id"].dataType).alias("_pid"))
-    pr = probes.select(key, F.col(ts).alias("_t"),
-                       F.lit(None).cast(ev.schema["_ev"].dataType).alias("_ev"),
-                       F.col("_probe_id").alias("_pid"))
-    u = ev.unionByName(pr).withColumn(b, F.floor(F.col("_t") / F.lit(span_us)).cast("long"))
+                                *[F.col(c) for c in payload]).alias("_ev"))
+    pr = probes.select(key, F.col(ts).alias("_t"), F.struct(*probes.columns).alias("_probe"))
+    u = (ev.unionByName(pr, allowMissingColumns=True)
+         .withColumn(b, F.floor(F.col("_t") / F.lit(span_us)).cast("long")))
     w = Window.partitionBy(key, b).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
-    u = u.withColumn("_in", F.max("_ev").over(w))
     last_of_bucket = (ev.withColumn(b, F.floor(F.col("_t") / F.lit(span_us)).cast("long") + 1)
                       .groupBy(key, b).agg(F.max("_ev").alias("_prev")))
-    res = (u.filter(F.col("_pid").isNotNull())
-           .join(last_of_bucket, [key, b], "left")
-           .select(F.col("_pid").alias("_probe_id"), "_t", "_in", "_prev"))
+    res = (u.withColumn("_in", F.max("_ev").over(w)).filter(F.col("_probe").isNotNull())
+           .join(last_of_bucket, [key, b], "left"))
     best = F.when(F.col("_in").isNotNull(), F.col("_in")) \
         .when(F.col("_prev._t0") >= F.col("_t") - F.lit(span_us), F.col("_prev"))
-    res = res.select("_probe_id", best.alias("_m"))
-    cols = [F.col(f"_m.{c}").alias(prefix + c) for c in payload]
-    return probes.join(res.select("_probe_id", *cols), "_probe_id", "left")
+    # the probe's own columns travel with it, so nothing is joined back to it
+    return res.select("_probe", best.alias("_m")).select("_probe.*", *[F.col(f"_m.{c}").alias(prefix + c) for c in payload])

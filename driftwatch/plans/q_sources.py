@@ -202,3 +202,24 @@ FROM customers_v WHERE is_suspicious
         f"SELECT '{t}' AS \"table\", CAST(count(*) AS BIGINT) AS rows FROM {t}" for t in
         TB.DRIVER_TABLES + ["tx_orders", "tx_events", "customers_v"]) + ")"),
 }
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+ORACLES["s02_load_account_edges"] = with_views(f""",
+raw AS (
+  SELECT CAST(customer_id AS VARCHAR) AS customer_id, counterparty, CAST(amount AS DOUBLE) AS amount,
+         floor((ts_us - (SELECT min(ts_us) FROM account_txns)) / {3 * US_DAY}) AS t
+  FROM account_txns),
+numbered AS (SELECT *, row_number() OVER (ORDER BY customer_id, counterparty, t, amount) - 1 AS i FROM raw),
+hashed AS (SELECT *, CAST('0x' || substr(md5(CAST(i AS VARCHAR) || '|amlsim'), 1, 8) AS BIGINT) AS h FROM numbered)
+SELECT CAST(i AS VARCHAR) AS transaction_id, customer_id, counterparty, round(amount, 6) AS amount,
+  CASE WHEN h % 2 = 0 THEN 'deposit' ELSE 'withdrawal' END AS transaction_type,
+  {_listed(LD.AMLSIM_METHODS)}[CAST((h // 2) % {len(LD.AMLSIM_METHODS)} AS INTEGER) + 1] AS method,
+  {_listed(LD.AMLSIM_COUNTRIES)}[CAST((h // 8) % {len(LD.AMLSIM_COUNTRIES)} AS INTEGER) + 1] AS country,
+  'branch_' || CAST((h // 72) % 19 + 1 AS VARCHAR) AS location,
+  epoch_us(TIMESTAMP '2025-01-01' + to_days(CAST(floor(t * 2.5) AS INTEGER))) AS ts_us
+FROM hashed
+""")

@@ -1,4 +1,6 @@
-"""Small graphs with known answers."""
+"""Small graphs with known answers, and random ones against brute force."""
+import pytest
+
 from driftwatch.operators.graph import paths as GP
 from driftwatch.operators.graph import flows as GF
 
@@ -34,3 +36,85 @@ def test_funnel_star(spark):
     e = _edges(spark, [("1", x) for x in "abcd"])
     r = GF.degrees_flows(e, _cust(spark, [1])).collect()[0]
     assert r["is_funnel_hub"] and r["out_degree"] == 4 and r["funnel_ratio"] == 4.0
+
+
+def _random_edges(n, p, seed):
+    import random
+    rng = random.Random(seed)
+    return [(f"{a}", f"{b}", float(rng.randint(1, 50))) for a in range(n) for b in range(n) if rng.random() < p]
+
+
+def _cycles_ref(edges, max_len, max_cycles):
+    """Per node the first cycles through it by (length, path from the least node on)."""
+    out = {}
+    for a, b, w in edges:
+        out.setdefault(a, {})[b] = w
+    found = []
+
+    def walk(path, w):
+        for b, x in out.get(path[-1], {}).items():
+            if b == path[0]:
+                found.append((len(path), ">".join(path), path, w + x))
+            elif b > path[0] and b not in path and len(path) < max_len:
+                walk([*path, b], w + x)
+    for a in out:
+        walk([a], 0.0)
+    per = {}
+    for length, _, path, w in sorted(found):
+        for v in path:
+            rows = per.setdefault(v, [])
+            if len(rows) < max_cycles:
+                rows.append((length, w))
+    return {v: (len(r), max(n for n, _ in r), sum(w for _, w in r)) for v, r in per.items()}
+
+
+@pytest.mark.parametrize("n, p, max_len, max_cycles", [(12, 0.12, 8, 20), (12, 0.3, 8, 20), (30, 0.05, 8, 4), (9, 0.5, 5, 1), (20, 0.15, 3, 20)])
+def test_cycles_equal_brute_force(spark, n, p, max_len, max_cycles):
+    edges = _random_edges(n, p, seed=n + max_len)
+    e = spark.createDataFrame(edges, "src string, dst string, weight double").repartition(3)
+    got = {r["customer_id"]: (r["num_cycles"], r["max_cycle_length"], r["cycle_total_amount"])
+           for r in GP.circular_flows(e, _cust(spark, range(n + 2)), max_len, max_cycles).collect()}
+    want = _cycles_ref(edges, max_len, max_cycles)
+    for v in range(n + 2):
+        assert got[v] == pytest.approx(want.get(str(v), (0, 0, 0.0))), v
+
+
+@pytest.mark.parametrize("batch_rows", [200_000_000, 90])
+def test_layer_depth_equals_breadth_first_search(spark, batch_rows):
+    n = 200  # four words of searches
+    edges = _random_edges(n, 0.012, seed=3) + [(f"{n + i}", f"{n + i + 1}", 1.0) for i in range(15)]
+    out = {}
+    for a, b, _ in edges:
+        out.setdefault(int(a), set()).add(int(b))
+    want = {}
+    for root in range(n + 17):
+        seen, front, d = {root}, {root}, 0
+        while front and d < 10:
+            front = {b for a in front for b in out.get(a, ())} - seen
+            if front:
+                seen, d = seen | front, d + 1
+        want[root] = (d, len(seen) - 1)
+    e = spark.createDataFrame(edges, "src string, dst string, weight double")
+    got = {r["customer_id"]: (r["layer_depth"], r["reachable_nodes"]) for r in GP.layer_depth(e, _cust(spark, range(n + 17)), batch_rows=batch_rows).collect()}
+    assert got == want
+
+
+def test_hub_of_triangles(spark):
+    """Ego signals against the definition, with a node that all others point to and from."""
+    from driftwatch.operators.graph import ego as GG
+    edges = {(a, b) for a, b, _ in _random_edges(16, 0.2, seed=8)} | {("0", str(i)) for i in range(16)} | {(str(i), "0") for i in range(1, 9)}
+    got = {str(r["customer_id"]): r for r in GG.ego_signals(_edges(spark, sorted(edges)), _cust(spark, range(17))).collect()}
+    for c in map(str, range(17)):
+        s = {b for a, b in edges if a == c and b != c}
+        inside = s | {c}
+        und = {frozenset(e) for e in edges if e[0] != e[1] and set(e) <= inside}
+        k = len(s)
+        t = sum(c not in e for e in und)
+        deg = {v: sum(v in e for e in und) for v in inside}
+        tri = sum(all(frozenset(p) in und for p in ((x, y), (y, z), (x, z))) for x in inside for y in inside for z in inside if x < y < z)
+        triads = sum(d * (d - 1) / 2 for d in deg.values())
+        r = got[c]
+        assert r["ego_size"] == k
+        assert r["ego_density"] == pytest.approx(sum(set(e) <= inside for e in edges) / ((k + 1) * k) if k else 0.0)
+        assert r["ego_clustering_coeff"] == pytest.approx(2 * t / (k * (k - 1)) if k >= 2 else 0.0)
+        assert r["ego_triadic_closure"] == pytest.approx(3 * tri / triads if tri else 0.0)
