@@ -134,8 +134,10 @@ def circular_flows(edges: DataFrame, customers: DataFrame,
     need = stored(need.select("v", (F.lit(max_cycles) - F.coalesce("_l", F.lit(0))).alias("more")).filter(F.col("more") > 0), "cycles")
     out = step.join(need, step["src"] == need["v"]).select("v", F.col("dst").alias("meet"), F.array("dst").alias("nodes"), F.col("weight").alias("w"))
     back = step.join(need, step["dst"] == need["v"]).select("v", F.col("src").alias("meet"), F.array("src").alias("nodes"), F.col("weight").alias("w"))
-    out, back = stored(out, "cycles"), stored(back, "cycles")
-    for length in range(2, max_len + 1):
+    lengths = range(2, 2 if need.isEmpty() else max_len + 1)
+    if lengths:
+        out, back = stored(out, "cycles"), stored(back, "cycles")
+    for length in lengths:
         if length > 2:  # one more edge: out of v for odd lengths, back to v for even ones
             side, here, there = (out, "src", "dst") if length % 2 else (back, "dst", "src")
             longer = (side.join(need.select("v"), "v", "left_semi").join(step, F.col("meet") == F.col(here))
