@@ -59,6 +59,12 @@ class Kind:
     window: int
     gram: int
     bits: int = 56
+    #: Bits to remember of what stands on each side of an anchor, 8 or 16.
+    side_bits: int = 8
+
+    @property
+    def context_type(self) -> str:
+        return "<u2" if self.side_bits == 8 else "<u4"
 
 
 class Block:
@@ -109,12 +115,12 @@ class Block:
         return self._hash(at, self.kind.gram)
 
     def contexts(self, anchor: np.ndarray) -> np.ndarray:
-        """Eight bits for what stands before an anchor and eight for what follows. A window holds
+        """Some bits for what stands before an anchor and as many for what follows. A window holds
         half of its other units on one side at least, so two equal windows agree on one of them."""
-        half = -(-(self.kind.window - self.kind.gram) // 2)
-        before = self._hash(anchor - half, half) >> U64(56)
-        after = self._hash(anchor + self.kind.gram, half) >> U64(56)
-        return ((before << U64(8)) | after).astype("<u2")
+        half, bits = -(-(self.kind.window - self.kind.gram) // 2), U64(self.kind.side_bits)
+        before = self._hash(anchor - half, half) >> (U64(64) - bits)
+        after = self._hash(anchor + self.kind.gram, half) >> (U64(64) - bits)
+        return ((before << bits) | after).astype(self.kind.context_type)
 
     def runs(self):
         """(first window, number of windows, anchor hash) of each run of windows with one anchor."""
@@ -239,23 +245,25 @@ def _send_keys(kind: Kind, buckets: int):
     return send
 
 
-def _again(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+def _again(group: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
     """Whether another member of the group has the same value."""
-    _, place, count = np.unique((group << 8) | value, return_inverse=True, return_counts=True)
+    _, place, count = np.unique((group << bits) | value, return_inverse=True, return_counts=True)
     return count[place] > 1
 
 
-def _find_shared(hot: int):
+def _find_shared(kind: Kind, hot: int):
+    bits = kind.side_bits
+
     def find(key, table):
         arrays = [_unpack(x.as_py(), "<u8") for x in table.column("keys")]
         every = np.concatenate(arrays)
-        context = np.concatenate([_unpack(x.as_py(), "<u2") for x in table.column("contexts")]).astype(np.int64)
+        context = np.concatenate([_unpack(x.as_py(), kind.context_type) for x in table.column("contexts")]).astype(np.int64)
         _, group, count = np.unique(every >> U64(1), return_inverse=True, return_counts=True)
         several = (every & U64(1)).astype(bool)
         weight = count + 63 * np.bincount(group, several, len(count)).astype(np.int64)
         # a block that has the anchor more than once may agree with any other, or within itself
         wanted = weight[group] > np.maximum(count[group], 1)
-        wanted |= _again(group, context >> 8) | _again(group, context & 255)
+        wanted |= _again(group, context >> bits, bits) | _again(group, context & ((1 << bits) - 1), bits)
         reply = (every & ~U64(1)) | (weight[group] > hot).astype(U64)
         out_block, out_keys, cuts = [], [], np.cumsum([len(a) for a in arrays])[:-1]
         for block, keys, use in zip(table.column("block").to_pylist(), np.split(reply, cuts), np.split(wanted, cuts)):
@@ -404,7 +412,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, index: Callable, id_col: str, te
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id",
                        F.xxhash64("text").alias("h"), "text").groupBy("block")
     keys = rows.applyInArrow(_send_keys(kind, blocks), "bucket int, block int, keys binary, contexts binary")
-    shared = keys.groupBy("bucket").applyInArrow(_find_shared(hot), "block int, keys binary")
+    shared = keys.groupBy("bucket").applyInArrow(_find_shared(kind, hot), "block int, keys binary")
     asked = rows.cogroup(shared.groupBy("block")).applyInArrow(
         _send_fragments(kind, blocks), "bucket int, block int, number binary, size binary, part binary, windows binary, least binary, data binary")
     replies = asked.groupBy("bucket").applyInArrow(

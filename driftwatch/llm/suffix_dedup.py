@@ -129,6 +129,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all other ids; rows with equal ids don't remove each other's bytes; an empty table
     gives no rows; other columns are not looked at.
     """
-    kind = Kind(words=False, window=WINDOW, gram=GRAM)
+    kind = Kind(words=False, window=WINDOW, gram=GRAM, side_bits=16)
     out = remove_repeats(docs, kind, smallest_ids, id_col, text_col, block_bytes, hot)
     return out.select(F.col("doc_id").alias(id_col), F.col("n_units").alias("n_bytes"), "n_removed", "spans", "kept")
