@@ -99,6 +99,19 @@ def test_layer_depth_equals_breadth_first_search(spark, batch_rows):
     assert got == want
 
 
+def test_layer_depth_without_search_where_one_step_ends(spark, monkeypatch):
+    """Customers who only meet outside counterparties need no search; one who meets a customer does."""
+    pairs = [(str(i), f"s{j}") for i in range(100) for j in range(i % 7 + 1)] + [("3", "3")]
+    want = {i: (1, i % 7 + 1) for i in range(100)} | {100: (0, 0)}
+    searched = []
+    reached = GP._reached
+    monkeypatch.setattr(GP, "_reached", lambda e, start, cutoff: searched.append(start.count()) or reached(e, start, cutoff))
+    got = lambda p: {r["customer_id"]: (r["layer_depth"], r["reachable_nodes"])
+                     for r in GP.layer_depth(_edges(spark, p), _cust(spark, range(101))).collect()}
+    assert got(pairs) == want and not searched
+    assert got([*pairs, ("5", "6")]) == want | {5: (2, 8)} and searched == [1]
+
+
 def test_hub_of_triangles(spark):
     """Ego signals against the definition, with a node that all others point to and from."""
     from driftwatch.operators.graph import ego as GG
