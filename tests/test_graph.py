@@ -131,3 +131,15 @@ def test_hub_of_triangles(spark):
         assert r["ego_density"] == pytest.approx(sum(set(e) <= inside for e in edges) / ((k + 1) * k) if k else 0.0)
         assert r["ego_clustering_coeff"] == pytest.approx(2 * t / (k * (k - 1)) if k >= 2 else 0.0)
         assert r["ego_triadic_closure"] == pytest.approx(3 * tri / triads if tri else 0.0)
+
+
+def test_pairs_of_neighbours_are_not_shuffled(spark):
+    """A triangle is found where an edge meets its end's list; before, each pair of neighbours was dealt by both nodes."""
+    from driftwatch.operators.graph import ego as GG
+    edges = _random_edges(16, 0.3, seed=5)
+    found = GG.triangles(GG.ordered_edges(_edges(spark, [e[:2] for e in edges]))[0])
+    und = {frozenset(e[:2]) for e in edges if e[0] != e[1]}
+    nodes = sorted({x for e in und for x in e})
+    assert found.count() == sum({frozenset((a, b)), frozenset((a, c)), frozenset((b, c))} <= und for a in nodes for b in nodes for c in nodes if a < b < c)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "(y#" in plan.split("Join Inner, ")[1].split("\n")[0] and "AND" not in plan.split("Join Inner, ")[1].split("\n")[0]
