@@ -79,6 +79,18 @@ def test_cycles_equal_brute_force(spark, n, p, max_len, max_cycles):
         assert got[v] == pytest.approx(want.get(str(v), (0, 0, 0.0))), v
 
 
+def test_short_cycles_without_paths(spark, monkeypatch):
+    """Cycles of up to three edges join no paths; before, each path of two edges was written."""
+    def closed(*_):
+        raise AssertionError("paths joined")
+    monkeypatch.setattr(GP, "_closed", closed)
+    edges = _random_edges(10, 0.3, seed=2)
+    e = spark.createDataFrame(edges, "src string, dst string, weight double")
+    want = _cycles_ref(edges, 3, 20)
+    for r in GP.circular_flows(e, _cust(spark, range(10)), max_len=3).collect():
+        assert (r["num_cycles"], r["max_cycle_length"], r["cycle_total_amount"]) == pytest.approx(want.get(str(r["customer_id"]), (0, 0, 0.0)))
+
+
 @pytest.mark.parametrize("batch_rows", [200_000_000, 90])
 def test_layer_depth_equals_breadth_first_search(spark, batch_rows):
     n = 200  # four words of searches
