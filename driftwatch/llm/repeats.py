@@ -15,8 +15,9 @@ id. Five steps, all of them shuffles of compact arrays:
    fragment, keeps each different fragment once with its smallest document id,
    and sends it to the bucket of its anchor. Windows with equal units are always
    in fragments of the same bucket.
-4. The bucket builds its index over the fragments and reports, for runs of
-   windows, the smallest document id in which they occur.
+4. The bucket builds its index over the fragments that share their anchor with a
+   different fragment (what copies have in common is one fragment by now) and reports,
+   for runs of windows, the smallest document id in which they occur.
 5. The block holds that against each of its documents.
 
 Hot groups: thousands of copies are one fragment per block in step 3. An anchor
@@ -46,7 +47,7 @@ HOT = 1 << 16
 #: A null id stands behind all others.
 LAST = (1 << 63) - 1
 CHUNK = 1 << 16
-#: Fragments to one index, about; a bucket's fragments are split by their anchors (into 256 parts at most).
+#: Fragments to one index, about; a bucket's fragments are split by their anchors.
 PART = 4000
 #: An anchor's hash has so many bits more than the number of anchors takes; a chance meeting only costs a fragment.
 SPARE_BITS = 14
@@ -274,7 +275,7 @@ def _send_fragments(kind: Kind, buckets: int):
         _, _, _, _, (where, size, windows, least, bucket_key) = block.fragments(np.sort(_join(shared.column("keys"), U64)))
         out = {f: [] for f in FRAGMENTS.names}
         for bucket, i in _split(bucket_key, buckets):
-            row = (bucket, key[0].as_py(), _pack(i.astype("<i4")), _pack(size[i].astype("<i4")), _pack((bucket_key[i] >> U64(kind.bits - 8)).astype(np.uint8)),
+            row = (bucket, key[0].as_py(), _pack(i.astype("<i4")), _pack(size[i].astype("<i4")), _pack((mix(bucket_key[i]) >> U64(32)).astype("<u4")),
                    _pack(windows[i].astype("<i2")), _pack(least[i].astype("<i8")), _pack(gather(block.data, where[i], size[i])))
             for f, x in zip(FRAGMENTS.names, row):
                 out[f].append(x)
@@ -282,6 +283,16 @@ def _send_fragments(kind: Kind, buckets: int):
     return send
 
 
+def _parts(anchor: np.ndarray) -> list[np.ndarray]:
+    """Members whose anchor (32 bits of a mixed hash) another one has, dealt by anchor to parts of some ``PART``."""
+    _, group, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count[group] > 1)
+    part = anchor[shared] * -(-len(shared) // PART) >> 32
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.diff(part[order])) + 1
+    return [shared[i] for i in np.split(order, cuts) if len(i)]
+
+
 def _answer(kind: Kind, index: Callable):
     def answer(key, table):
         column = lambda name, dtype: [_unpack(x.as_py(), dtype) for x in table.column(name)]
@@ -300,15 +311,12 @@ def _answer(kind: Kind, index: Callable):
         which[order] = np.cumsum(new) - 1
         one = order[firsts]
         smallest = np.minimum.reduceat(least[order], firsts)
-        # one index per part: equal windows are in the same part
+        # equal windows have equal anchors: a fragment alone with its anchor has its own id everywhere
         first = np.cumsum(windows[one]) - windows[one]
-        found = np.empty(int(windows[one].sum()), np.int64)
-        parts = min(256, -(-len(one) // PART))
-        part = np.concatenate(column("part", np.uint8))[one].astype(np.int64) * parts >> 8
-        for p in range(parts):
-            i = np.flatnonzero(part == p)
-            if len(i):
-                found[spread(first[i], windows[one[i]])] = index(data, start[one[i]], size[one[i]], windows[one[i]], smallest[i])
+        found = np.repeat(smallest, windows[one])
+        # one index per part for all others
+        for i in _parts(np.concatenate(column("part", "<u4"))[one].astype(np.int64)):
+            found[spread(first[i], windows[one[i]])] = index(data, start[one[i]], size[one[i]], windows[one[i]], smallest[i])
         # runs of windows with one id, for each different fragment, then for each block that asked
         head = np.zeros(len(found) + 1, bool)
         head[first] = True

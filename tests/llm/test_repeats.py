@@ -1,10 +1,12 @@
 """Substring dedups against brute force, in blocks of several sizes and with the treatment of hot anchors forced."""
+import hashlib
 import random
 
 import numpy as np
 import pytest
 
-from driftwatch.llm import fm_dedup, suffix_dedup
+from driftwatch.llm import fm_dedup, repeats, suffix_dedup
+from driftwatch.llm.hashing import U64, mix
 from tests.llm.conftest import words
 
 LAST = 1 << 63
@@ -67,6 +69,49 @@ def test_collection_order(monkeypatch, in_memory):
     assert common.tolist() == [0, *(agree(a[0], b[0]) for a, b in zip(want, want[1:]))]
 
 
+def _text(keys, i):
+    return hashlib.sha1(int(keys[i]).to_bytes(8, "little")).hexdigest() + f"{i:012d}"
+
+
+def _replies(keys, index):
+    """What the bucket of these anchor hashes says of fragments with 3 different windows each: (number, least id) per run."""
+    n = len(keys)
+    texts = [_text(keys, i).encode() for i in range(n)]
+    block = {"bucket": [0], "block": [0], "number": [np.arange(n, dtype="<i4")], "size": [np.full(n, 52, "<i4")],
+             "part": [(mix(keys) >> U64(32)).astype("<u4")], "windows": [np.full(n, 3, "<i2")], "least": [np.arange(n, dtype="<i8") + 100],
+             "data": [np.frombuffer(b"".join(texts), np.uint8)]}
+    table = repeats._table({f: [repeats._pack(x) if isinstance(x, np.ndarray) else x for x in v] for f, v in block.items()}, repeats.FRAGMENTS)
+    out = repeats._answer(repeats.Kind(words=False, window=50, gram=20), index)((0,), table)
+    return [(int(a), int(b)) for a, b in zip(repeats._join(out.column("number"), "<i4"), repeats._join(out.column("least"), "<i8"))]
+
+
+def test_parts_are_even_and_hold_only_shared_anchors(monkeypatch):
+    """Anchors are the least hashes of their windows, so they are small: parts must not follow their top bits. A fragment
+    whose anchor no other fragment has needs no index."""
+    monkeypatch.setattr(repeats, "PART", 100)
+    pairs = np.repeat(np.arange(1, 1001, dtype="<u8") << U64(20), 2)  # 1,000 anchors of two fragments, all in the lowest 2^-26 of the hashes
+    alone = np.arange(5001, 8001, dtype="<u8") << U64(20)
+    sizes = []
+
+    def index(data, start, size, windows, ids):
+        sizes.append(len(ids))
+        return suffix_dedup.smallest_ids(data, start, size, windows, ids)
+
+    keys = np.concatenate([pairs, alone])
+    got = _replies(keys, index)
+    assert sum(sizes) == len(pairs)
+    assert len(sizes) == 20 and max(sizes) < 200
+    want = {}
+    for i in range(len(keys)):  # by brute force: two fragments with one anchor agree in some of their windows
+        for w in range(3):
+            want.setdefault(_text(keys, i)[w:w + 50], i + 100)
+    runs = []
+    for i in range(len(keys)):
+        ids = [want[_text(keys, i)[w:w + 50]] for w in range(3)]
+        runs += [(i, x) for k, x in enumerate(ids) if k == 0 or x != ids[k - 1]]
+    assert sorted(got) == sorted(runs)
+
+
 def test_backward_search():
     rng = random.Random(5)
     text = np.array([*(rng.randint(1, 4) for _ in range(300)), 0])
