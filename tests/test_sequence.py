@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from driftwatch.functions.exprs import US_PER_DAY
-from driftwatch.operators.sequence import (latest_before_within, next_event_after,
+from driftwatch.operators.sequence import (latest_before_within, next_event_after, short_gaps,
                                            with_previous_ts)
 
 
@@ -60,3 +60,13 @@ def test_latest_before_within(spark):
             continue
         cands = [(r[1], r[2]) for r in rows if r[0] == k and r[3] == "e" and t - span <= r[1] < t]
         assert got[i] == (max(cands)[1] if cands else None)
+
+
+def test_short_gaps_of_buckets_are_those_of_rows(spark):
+    rows = [(k, t) for k, t, *_ in _data(3)] + [(4, None), (4, None), (5, 7), (5, 7), (5, None), (6, 1), (6, 1 + 2 * US_PER_DAY), (7, -1), (7, 0)]
+    df = spark.createDataFrame(rows, "k long, ts_us long")
+    got = {r["k"]: tuple(r[c] for c in ("short_gaps", "_n", "_mn", "_mx")) for r in short_gaps(df, "k", 2 * US_PER_DAY).collect()}
+    for k in {k for k, _ in rows}:
+        seq = sorted(t for x, t in rows if x == k and t is not None)
+        short = sum(b - a < 2 * US_PER_DAY for a, b in zip(seq, seq[1:]))
+        assert got[k] == (short, sum(x == k for x, _ in rows), min(seq, default=None), max(seq, default=None))
