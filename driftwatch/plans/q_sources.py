@@ -128,9 +128,9 @@ def q_s11_export_alert_csv(spark, sf):
     path = (f"{checkpoint_dir(spark).rstrip('/')}/exports/{spark.sparkContext.applicationId}/"
             f"{hashlib.md5(sf.encode()).hexdigest()[:12]}/alert_txns")
     t = A.alert_transactions(_alerts(spark, sf), V(spark, sf, "tx_orders"), limit=None)
-    LD.export_alert_transactions(t.select("alert_id", "transaction_id", "ts_us", "transaction_type", "amount",
-                                          "currency", "method", "country", "counterparty"), path)
-    back = spark.read.option("header", True).csv(path)
+    t = t.select("alert_id", "transaction_id", "ts_us", "transaction_type", "amount", "currency", "method", "country", "counterparty")
+    LD.export_alert_transactions(t, path)
+    back = LD.read_alert_transactions(spark, path, t.drop("alert_id").schema)
     return back.groupBy("alert_id").agg(F.count("*").alias("rows"))
 
 
