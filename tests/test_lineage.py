@@ -33,3 +33,8 @@ def test_lineage_has_every_step(spark):
             assert a["templates_retrieved"][0]["typology"] == a["typology_detected"]
         assert a["narrative"] == texts[i] and a["narrative_word_count"] == len(texts[i].split())
         assert a["bsi_score"] is not None and a["status"] == "draft" and a["reviewed_by"] is None
+
+
+def test_attributions_add_up_to_the_margin(spark):
+    rows = E.queries()["f11_additivity"](spark, SF).collect()
+    assert rows and all(r["abs_error"] < 1e-9 for r in rows)
